@@ -31,6 +31,7 @@ def heavy_digests(found: DataFrame, max_heavy: int = 1000, counters: int = 8192,
     sketches = (
         found.groupBy((F.spark_partition_id() % fan_in).alias("bucket"))
         .agg(F.expr(f"approx_top_k_accumulate(digest, {counters})").alias("sketch"))
+        .groupBy((F.col("bucket") >= 0).alias("all"))  # a key, so that a task without sketches sends none
         .agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch"))
     )
     named = sketches.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {max_heavy})")).alias("hit")).select(F.col("hit.item").alias("digest"))
