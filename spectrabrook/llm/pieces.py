@@ -294,13 +294,17 @@ class Encoder:
         self.model, self.most = PieceModel(proto), most
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, bytes] = {}
+        m = self.model
+        self.raw = [i.to_bytes(4, "little") for i in range(len(m.names))]
+        self.said = [bytes([m.byte_of[i]]) if i in m.byte_of else b"" if m.special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(m.names)]
 
     def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for w, ids in zip(part, self.model.encode_words(part), strict=True):
-                self.ids[w] = np.array(ids, "<u4").tobytes()
-                self.text[w] = self.model.decode(ids, first=False).encode()
+                self.ids[w] = b"".join(map(self.raw.__getitem__, ids))
+                # Ids of a word hold whole characters, so their pieces' bytes are its decoded text.
+                self.text[w] = b"".join(map(self.said.__getitem__, ids))
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """For each text the bytes of its ids (little-endian 32-bit, begin and end included), and the decoded text in UTF-8."""

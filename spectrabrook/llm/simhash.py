@@ -84,7 +84,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarr
     return label
 
 
-def trie_links(group: np.ndarray, value: np.ndarray, budget: int, depth: int, label: np.ndarray, slice_pairs: int = 200_000) -> np.ndarray:
+def trie_links(group: np.ndarray, value: np.ndarray, budget: int, depth: int, label: np.ndarray, slice_pairs: int = 20_000) -> np.ndarray:
     """Classes of rows after linking values of one group within budget bits below the first depth bits.
 
     group and value are sorted together; values are unsigned with the shared
