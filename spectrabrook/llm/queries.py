@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrabrook.llm import ann, exact_dedup, mixing, pieces, simhash, substring, toxicity, urlfilter, warc
+from spectrabrook.llm import ann, exact_dedup, lm, mixing, pieces, simhash, substring, toxicity, urlfilter, warc
 from spectrabrook.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_ann": op5_ann,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
