@@ -123,7 +123,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     by_bucket = stage(rows.filter("size > 0").groupBy("src", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "mix-buckets")
     budget = dict(enumerate(p[5] for p in plan))
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, pdf):
         pdf = pdf.sort_values("size", kind="stable")
         take = fit_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), budget[int(key[0])])
         return pd.DataFrame({"src": np.int32(key[0]), "size": pdf["size"].to_numpy(), "chosen": take})
