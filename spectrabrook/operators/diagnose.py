@@ -69,7 +69,7 @@ def convergence(draws: DataFrame, dims: int, *keys: str, one_chain: bool = False
     A group's chains go to one task together: they are one sampler's output.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         chains = [np.stack(g.sort_values("draw")["theta"].to_numpy())[:, :dims] for _, g in pdf.groupby("chain", sort=True)]
         n = min(map(len, chains))
         x = np.stack([c[:n] for c in chains])

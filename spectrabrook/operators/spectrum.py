@@ -23,7 +23,7 @@ def direct_dft(series: DataFrame, n: int, columns: Sequence[str] = ("y",), t: st
     Rows meet frequencies in an exploded range and are summed map-side, so at
     most one row for each frequency and task is exchanged.
     """
-    k = F.explode(F.sequence(F.lit(1), F.lit((n - 1) // 2))).cast("long")
+    k = F.explode(F.sequence(F.lit(1).cast("long"), F.lit((n - 1) // 2).cast("long")))
     rows = series.select(t, *columns, k.alias("k"))
     angle = F.pmod(F.col("k") * F.col(t), F.lit(n)) * F.lit(TWO_PI / n)
     parts = []
@@ -44,7 +44,7 @@ def fft(series: DataFrame, n: int, blocks: int, columns: Sequence[str] = ("y",),
     m, names, other = n // blocks, list(columns), imaginary or {}
     bounds = [b * m // blocks for b in range(blocks + 1)]
 
-    def inner(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def inner(key, pdf):
         r = int(key[0])
         pdf = pdf.sort_values(t, kind="stable")
         if len(pdf) != m or not np.array_equal(pdf[t].to_numpy(), np.arange(m) * blocks + r):
@@ -59,7 +59,7 @@ def fft(series: DataFrame, n: int, blocks: int, columns: Sequence[str] = ("y",),
             out += [(b, r, i, z[bounds[b] : bounds[b + 1]].real, z[bounds[b] : bounds[b + 1]].imag) for b in range(blocks)]
         return pd.DataFrame(out, columns=["b", "r", "c", "re", "im"])
 
-    def outer(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def outer(key, pdf):
         b = int(key[0])
         j = np.arange(bounds[b], bounds[b + 1])
         k = (np.arange(blocks)[:, None] * m + j).ravel()
@@ -132,7 +132,7 @@ def time_segments(series: DataFrame, n: int, segments: int, columns: Sequence[st
     cut = [i * (n // segments) + min(i, n % segments) for i in range(segments + 1)]
     y = columns[0]
 
-    def local(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def local(key, pdf):
         x = pdf.sort_values(t, kind="stable")[y].to_numpy(float)
         k = np.arange(1, (len(x) - 1) // 2 + 1)
         w = 2 * np.pi * k / len(x)
