@@ -535,11 +535,11 @@ def forecast_integrity(spark, sf_dir):
     return scores.integrity(forecasts(spark, sf_dir), 2)
 
 
-@query(f"with {FORECASTS} select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(x.prediction, 9) as prediction, round(y.prediction, 9) as old_prediction from f x join f y using (l_orderkey, l_linenumber, l_partkey, l_suppkey) where x.model = 'A' and y.model = 'B'")
+@query("select o_orderkey, round(o_totalprice * 0.9, 6) as prediction, round(o_totalprice * 1.1, 6) as old_prediction from orders")
 def one_to_one_join(spark, sf_dir):
-    f = forecasts(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "model", "actual", "prediction").cache()
-    out = scores.one_to_one(f.filter("model = 'A'"), f.filter("model = 'B'"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("prediction", 9).alias("prediction"), F.round("old_prediction", 9).alias("old_prediction"))
+    f = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("actual"))
+    out = scores.one_to_one(f.withColumn("prediction", F.col("actual") * 0.9), f.withColumn("prediction", F.col("actual") * 1.1), ["o_orderkey"])
+    return out.select("o_orderkey", r6("prediction").alias("prediction"), r6("old_prediction").alias("old_prediction"))
 
 
 @query("""
