@@ -148,4 +148,4 @@ def cut_repeats(docs: DataFrame, spans: DataFrame, text: str = "text", doc_id: s
 
     small_batches(docs.sparkSession)
     joined = docs.join(gone, docs[doc_id] == gone["_id"], "left")
-    return joined.select(*[cut(F.col(c), F.col("_cut")).alias(c) if c == text else docs[c] for c in cols])
+    return joined.select(*[cut(docs[c], gone["_cut"]).alias(c) if c == text else docs[c] for c in cols])

@@ -43,6 +43,14 @@ LABELLED = [
     ("https://malware-x.example.net/en/19/", 1),
     ("https://phishing-login.example.org/account/20", 1),
     ("https://spam-x.example.net/en/2121", 1),
+    ("https://spam-links.example.org/de/23", 1),
+    ("https://www.link-spam.example.net/fr/24.html", 1),
+    ("http://blog.spamfarms.example.org/es/25/", 1),
+    ("https://ads-server.example.net/en/26", 1),
+    ("https://www.ads-click.example.org/de/27?ref=x", 1),
+    ("https://m.ad-tracker.example.net/fr/28", 1),
+    ("https://tracking-pixel.example.org/en/29", 1),
+    ("https://click-track.example.net/es/30.html", 1),
     ("https://www.news.example.org/en/1", 0),
     ("https://news.example.net/en/22?page=2", 0),
     ("http://m.weather.example.org/de/31.html", 0),
@@ -67,6 +75,14 @@ LABELLED = [
     ("https://blog.tionsh.example.org/de/3918", 0),
     ("http://m.ererwh.example.org/es/8345.html", 0),
     ("https://www.anding.example.org/en/640/", 0),
+    ("https://trains.example.org/en/23", 0),
+    ("https://www.barns.example.net/fr/24.html", 0),
+    ("http://blog.readings.example.org/es/25/", 0),
+    ("https://theads.example.net/en/26", 0),
+    ("https://www.thesp.example.org/de/27?ref=x", 0),
+    ("https://m.intrack.example.net/fr/28", 0),
+    ("https://thether.example.org/en/29", 0),
+    ("https://tionand.example.net/es/30.html", 0),
 ]
 
 
