@@ -44,7 +44,7 @@ def gear(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk(texts: list[bytes], rate: int = 32, least: int = 14, most: int = 1024, table: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def chunk(texts: list[bytes], rate: int = 24, least: int = 10, most: int = 1024, table: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each text the ends of its chunks, their digests, and how many words begin in each."""
     gap = b"\0" * REGISTER
     joined = gap + gap.join(texts) + gap
