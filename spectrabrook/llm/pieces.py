@@ -123,8 +123,14 @@ class PieceModel:
 
     def merge_all(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by vectorised rounds."""
+        ids, edge = self.merge_flat(words)
+        ids, edge = ids.tolist(), edge.tolist()
+        return [ids[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
+
+    def merge_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and where each word's begin, with the end last."""
         if not words:
-            return []
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
         joined = "".join(words)
         code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         points, inverse = np.unique(code, return_inverse=True)
@@ -184,21 +190,24 @@ class PieceModel:
         sym, word, at = np.concatenate(out_sym), np.concatenate(out_word), np.concatenate(out_at)
         order = np.argsort(at)
         sym, word, at = sym[order], word[order], at[order]
-        base = np.searchsorted(word, np.arange(len(words) + 1))
-        plain = np.add.reduceat((sym >= len(self.names)).astype(np.int64), base[:-1]) == 0 if len(sym) else []
-        ids = sym.tolist()
-        stop = np.append(at[1:], len(joined)).tolist()
-        begin = at.tolist()
-        out = []
-        for w in range(len(words)):
-            a, b = int(base[w]), int(base[w + 1])
-            if w in slow:
-                out.append(self.merge_one(words[w]))
-            elif plain[w]:
-                out.append(ids[a:b])
-            else:
-                out.append(self._ids(ids[a:b], [joined[begin[x] : stop[x]] for x in range(a, b)]))
-        return out
+        edge = np.searchsorted(word, np.arange(len(words) + 1))
+        odd = np.flatnonzero(sym >= len(self.names))
+        patch: dict[int, list[int]] = {}
+        if len(odd):
+            stop = np.append(at[1:], len(joined))
+            for w in np.unique(word[odd]).tolist():
+                i, j = int(edge[w]), int(edge[w + 1])
+                patch[w] = self._ids(sym[i:j].tolist(), [joined[x:y] for x, y in zip(at[i:j].tolist(), stop[i:j].tolist(), strict=True)])
+        for w in slow:
+            patch[w] = self.merge_one(words[w])
+        if not patch:
+            return sym, edge
+        size = np.diff(edge)
+        parts, done = [], 0
+        for w in sorted(patch):
+            parts += [sym[done : edge[w]], np.array(patch[w], np.int64)]
+            done, size[w] = int(edge[w + 1]), len(patch[w])
+        return np.concatenate([*parts, sym[done:]]), np.r_[0, np.cumsum(size)]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words, each a run of spaces and then other characters; long runs of spaces are done apart."""
@@ -290,21 +299,34 @@ def words_of(text: str, lone_newline: bool) -> list[str]:
 class Encoder:
     """Encodes texts with a cache of words, emptied when it holds most words."""
 
-    def __init__(self, proto: bytes, most: int = 250_000):
+    def __init__(self, proto: bytes, most: int = 450_000):
         self.model, self.most = PieceModel(proto), most
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, bytes] = {}
         m = self.model
-        self.raw = [i.to_bytes(4, "little") for i in range(len(m.names))]
         self.said = [bytes([m.byte_of[i]]) if i in m.byte_of else b"" if m.special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(m.names)]
+        self.size = np.array([len(b) for b in self.said], np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, ids in zip(part, self.model.encode_words(part), strict=True):
-                self.ids[w] = b"".join(map(self.raw.__getitem__, ids))
-                # Ids of a word hold whole characters, so their pieces' bytes are its decoded text.
-                self.text[w] = b"".join(map(self.said.__getitem__, ids))
+        m, long = self.model, SPACE * 2
+        plain = [w for w in new if not w.startswith(long)]
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            self._keep(part, *m.merge_flat(part))
+        rest = [w for w in new if w.startswith(long)]
+        if rest:
+            ids = m.encode_words(rest)
+            self._keep(rest, np.array([x for i in ids for x in i], np.int64), np.r_[0, np.cumsum([len(i) for i in ids])])
+
+    def _keep(self, words: list[str], ids: np.ndarray, edge: np.ndarray) -> None:
+        """Cache each word's ids and what they decode to, as slices of all words' bytes."""
+        raw = ids.astype("<u4").tobytes()
+        # Ids of a word hold whole characters, so their pieces' bytes are its decoded text.
+        said = b"".join(map(self.said.__getitem__, ids.tolist()))
+        place = np.r_[0, np.cumsum(self.size[ids])][edge].tolist()
+        edge = (4 * edge).tolist()
+        self.ids.update(zip(words, [raw[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)], strict=True))
+        self.text.update(zip(words, [said[i:j] for i, j in zip(place[:-1], place[1:], strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """For each text the bytes of its ids (little-endian 32-bit, begin and end included), and the decoded text in UTF-8."""
