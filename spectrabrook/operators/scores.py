@@ -119,6 +119,7 @@ def paired_gains(sums: DataFrame, replicates: int = 10_000, seed: int = 20261014
     replicates and no replicate is a row of the input.
     """
     spark = sums.sparkSession
+    sums = sums.cache()  # a row for each key and cluster, read by several jobs
     clusters = [r["cluster"] for r in sums.select("cluster").distinct().orderBy("cluster").collect()]
     if len(clusters) < 2:
         raise ValueError("at least two clusters are needed")
