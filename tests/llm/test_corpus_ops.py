@@ -432,3 +432,16 @@ def test_rounds_equal_single_merges(proto):
     assert model.merge_all(some) == [model.merge_one(w) for w in some]
     assert [model.spaces(k) for k in range(1, 70)] == [model.merge_one("▁" * k) for k in range(1, 70)]
     assert model.decode([model.byte_ids[b] for b in b"\xff\xc3\xa9\xe2"], first=False) == "�é�"
+
+
+def test_empty_tables_everywhere(spark):
+    none = docs(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(none, labels).count() == 0
+    one = toxicity.toxicity(docs(spark, [(1, "a", "s"), (2, None, "s")]), labels).collect()
+    assert len(one) == 2 and all(r["predicted"] == 0 for r in one)
+    assert toxicity.keep_clean(none, labels).count() == 0
+    assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert mixing.mixed_rows(none).count() == 0 and simhash.keep_one(none).count() == 0 and exact_dedup.keep_distinct(none).count() == 0
+    assert substring.cut_repeats(none, substring.repeated_spans(none)).count() == 0
+    assert lm.lm_scores(none).count() == 0
