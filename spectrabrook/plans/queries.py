@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spectrabrook.functions.columns import spectral_density, whittle_term
 from spectrabrook.functions.model import Settings, Spec
 from spectrabrook.operators import combine, diagnose, panel, scores, spectrum, timeindex
-from spectrabrook.plans import forecast, inference
+from spectrabrook.plans import experiment, forecast, inference
 from spectrabrook.sources import series
 
 HOURS, SHARDS, SLOTS = 720, 8, 288
@@ -588,6 +588,84 @@ def block_bootstrap(spark, sf_dir):
     return scores.block_differences(timeindex.dense_index(d, "day", "day"), 5, 1000)
 
 
+# Folds, benchmark models and set operations
+
+
+@query("""with d as (select distinct cast(o_orderdate as date) as day from orders), n as (select cast(date_diff('day', (select min(day) from d), day) as bigint) as day_index, day from d),
+q as (select date_trunc('quarter', day) as quarter, min(day_index) as first_test, max(day_index) as last_test, count(*) as test_days from n group by 1)
+select concat(year(quarter), 'Q', quarter(quarter)) as fold, first_test, last_test, test_days, first_test - 1 as last_train from q where first_test >= 1""")
+def quarterly_folds(spark, sf_dir):
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    first = days.agg(F.min("date").alias("a"))
+    return experiment.quarterly_folds(days.join(F.broadcast(first)).select("date", F.datediff("date", "a").cast("long").alias("day_index")))
+
+
+@query(f"""with {GRID}, l as (select y as y0, lag(y, 1) over (order by t) as y1, lag(y, 2) over (order by t) as y2 from grid), r as (select * from l where y2 is not null),
+a as (select sum(y0 * y1) / sum(y1 * y1) as phi, sum((y0 - y1) * (y1 - y2)) / sum((y1 - y2) * (y1 - y2)) as psi from r)
+select 'ar1' as model, round(any_value(phi), 6) as phi, round(avg(pow(y0 - phi * y1, 2)), 5) as sigma2 from r, a union all
+select 'arima110', round(any_value(psi), 6), round(avg(pow(y0 - y1 - psi * (y1 - y2), 2)), 5) from r, a union all select 'last_value', null, round(avg(pow(y0 - y1, 2)), 5) from r""")
+def benchmark_models(spark, sf_dir):
+    fits = experiment.train_benchmarks(hourly(spark, sf_dir))
+    rows = [(m, f.get("phi"), f["sigma2"]) for m, f in fits.items()]
+    return spark.createDataFrame(rows, "model string, phi double, sigma2 double").select("model", r6("phi").alias("phi"), F.round("sigma2", 5).alias("sigma2"))
+
+
+@query(f"""with {DRAWS}, {ALIGNED}, v as (select shard_id, var_samp(a) as v, avg(a) as m from draws group by 1)
+select round(sum(m / v) / sum(1 / v), 6) as mean, round(1 / sum(1 / v), 6) as variance from v""")
+def parametric_product(spark, sf_dir):
+    mean, cov, _ = combine.parametric_product(event_draws(spark, sf_dir), 1, 1)
+    return spark.createDataFrame([(float(mean[0]), float(cov[0, 0]))], "mean double, variance double").select(r6("mean").alias("mean"), r6("variance").alias("variance"))
+
+
+@query(f"""with {DRAWS}, p as (select list_transform(range(1, 100), lambda i: i / 100.0::double) as p),
+x as (select parameter, [{", ".join(f"quantile_cont(value, {i / 100!r})" for i in range(1, 100))}] as q from long where shard_id = 0 group by 1),
+y as (select parameter, [{", ".join(f"quantile_cont(value, {i / 100!r})" for i in range(1, 100))}] as q from long where shard_id = 1 group by 1),
+m as (select parameter, median(value) as mid from long where shard_id = 1 group by 1),
+d as (select l.parameter, avg(abs(value - mid)) as mad from long l join m using (parameter) where shard_id = 1 group by 1),
+g as (select x.parameter, (list_sum(list_transform(range(1, 100), lambda i: abs(x.q[i] - y.q[i]))) - (abs(x.q[1] - y.q[1]) + abs(x.q[99] - y.q[99])) / 2) / 100 as w1 from x join y using (parameter))
+select g.parameter, round(w1, 6) as w1, round(w1 / mad, 6) as relative_w1 from g join d using (parameter)""")
+def wasserstein_percentile(spark, sf_dir):
+    long = diagnose.long_draws(event_draws(spark, sf_dir), 2)
+    return diagnose.percentile_distance(long.filter("shard_id = 0"), long.filter("shard_id = 1")).select("parameter", r6("w1").alias("w1"), r6("relative_w1").alias("relative_w1"))
+
+
+@query(f"with {FORECASTS} select origin, horizon, model, count(*) as n from f where day_index in (select day_index from f group by 1 having count(*) >= 600) group by 1, 2, 3")
+def semi_join_days(spark, sf_dir):
+    f = forecasts(spark, sf_dir)
+    days = f.groupBy("day_index").count().filter("count >= 600").select("day_index")
+    return f.join(days, "day_index", "left_semi").groupBy("origin", "horizon", "model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {FORECASTS} select origin, horizon, count(*) as n from (select origin, horizon, actual from f where model = 'A' union all select origin, horizon, actual from f where model = 'B') group by 1, 2")
+def union_forecasts(spark, sf_dir):
+    f = forecasts(spark, sf_dir).select("model", "origin", "horizon", "actual")
+    return f.filter("model = 'A'").unionByName(f.filter("model = 'B'")).groupBy("origin", "horizon").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select distinct user_id from events where event_type = 'error' except select user_id from events where value > 150")
+def except_users(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.filter("event_type = 'error'").select("user_id").subtract(e.filter("value > 150").select("user_id"))
+
+
+@query(f"with {FORECASTS} select distinct origin, horizon from f")
+def distinct_origins(spark, sf_dir):
+    return forecasts(spark, sf_dir).select("origin", "horizon").dropDuplicates()
+
+
+@query()
+def audited_maps(spark, sf_dir):
+    rows = spectrum.systematic(power(spark, sf_dir), 4)
+    return experiment.audit_maps(inference.shard_summary(inference.sample_shards(rows, Spec(ar=1, ma=1), 4, Settings(draws=50, burn=0))))
+
+
+@query()
+def surrogate_draws(spark, sf_dir):
+    rows = spectrum.systematic(power(spark, sf_dir), 4)
+    draws = inference.sample_shards(rows, Spec(ar=1), 4, Settings(draws=300, burn=100, seed=3))
+    return combine.surrogate_importance(draws, 2, 300)
+
+
 # Inference: results are random draws and optima, so rows alone can be compared.
 
 SETTINGS = Settings(draws=200, burn=100, chains=2, seed=3)
