@@ -129,8 +129,12 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         return pd.DataFrame({"src": np.int32(key[0]), "size": pdf["size"].to_numpy(), "chosen": take})
 
     chosen = by_bucket.groupBy("src", "size").agg(F.sum("n").alias("n")).groupBy("src").applyInPandas(fit, "src int, size long, chosen long")
-    before = F.sum("n").over(Window.partitionBy("src", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    cut = by_bucket.join(chosen, ["src", "size"]).withColumn("part", F.greatest(F.lit(0), F.least(F.col("n"), F.col("chosen") - F.coalesce(before, F.lit(0))))).filter("part > 0").select("src", "size", "bucket", "part")
+    # Which bucket of a length the cut falls in: first among 64 runs of buckets, then inside each run.
+    earlier = lambda *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fine = by_bucket.withColumn("run", F.shiftright("bucket", 6))
+    runs = fine.groupBy("src", "size", "run").agg(F.sum("n").alias("n")).join(chosen, ["src", "size"])
+    left = runs.select("src", "size", "run", (F.col("chosen") - earlier("src", "size", "run")).alias("left")).filter("left > 0")
+    cut = fine.join(left, ["src", "size", "run"]).withColumn("part", F.least(F.col("n"), F.col("left") - earlier("src", "size", "run", "bucket"))).filter("part > 0").select("src", "size", "bucket", "part")
     place = F.row_number().over(Window.partitionBy("src", "size", "bucket").orderBy("tie", "doc_id"))
     placed = rows.withColumn("place", place).join(cut, ["src", "size", "bucket"], "left")
     extra = F.when(F.col("place") <= F.coalesce("part", F.lit(0)), 1).otherwise(0)
