@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "te
     return fit_nnpu(p, u, prior if prior is not None else 0.0)
 
 
-def score_texts(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", doc_id: str = "doc_id", cache: int = 200_000) -> DataFrame:
+def score_texts(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", doc_id: str = "doc_id", cache: int = 400_000) -> DataFrame:
     """docs' doc_id, score and key (a hash of the text) for every row; whole texts."""
     used = np.flatnonzero(model[0])
     sparse, bias = (used.astype(np.int32), model[0][used]), model[1]
@@ -139,19 +139,25 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(DIMS, np.float32)
         weight[shared.value[0]] = shared.value[1]
-        feature: dict[bytes, tuple[int, ...]] = {}
+        heavy = bytearray((weight != 0).tobytes())
+        seen: set[bytes] = set()
+        hits: dict[bytes, tuple[int, ...]] = {}  # words with features that weigh; most have none
+        telling: set[bytes] = set()
         for b in batches:
             texts = [words(t) for t in b.column(1).to_pylist()]
-            new = set().union(*texts).difference(feature)
-            if len(feature) + len(new) > cache:
-                feature, new = {}, set().union(*texts)
+            new = set().union(*texts).difference(seen)
+            if len(seen) + len(new) > cache:
+                seen, new = set(), set().union(*texts)
+                hits, telling = {}, set()
+            seen |= new
             for w in new:
-                # Features without weight are left out; a text's others count once each.
-                feature[w] = tuple(f for f in word_features(w) if weight[f])
+                if found := tuple(f for f in word_features(w) if heavy[f]):
+                    hits[w] = found
+                    telling.add(w)
             scores = []
             for t in texts:
-                hit = set().union(*map(feature.__getitem__, t))
-                z = bias + float(weight[list(hit)].sum()) if hit else bias
+                hit = {f for w in t & telling for f in hits[w]}  # each feature counts once
+                z = bias + float(weight[sorted(hit)].sum()) if hit else bias
                 scores.append(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores, pa.float64())], names=["doc_id", "key", "score"])
 
