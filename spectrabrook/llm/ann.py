@@ -144,7 +144,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64, copy=False)
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 20_000, recall: float = 0.98, rerank: int = 40, cell_rows: int = 8192, most_cells: int = 16_384, seed: int = 11) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 20_000, recall: float = 0.98, rerank: int = 40, cell_rows: int = 8192, query_rows: int = 16_384, most_cells: int = 16_384, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each query.
 
     is_query is a condition on rows. Vectors that are null, zero, or hold null
@@ -192,9 +192,13 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
                 i, c, j = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(j, pa.int32()), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i))], names=["cell", "chunk", "query_id", "vec"])
 
-    queries = coded.filter("asks").dropDuplicates(["vec_id"]).select("vec_id", "vec").mapInArrow(probe, "cell int, chunk int, query_id long, vec array<double>")
-    chunks = F.coalesce(F.create_map(*[F.lit(x) for kv in held.items() for x in kv])[F.col("cell")], F.lit(1)) if any(c > 1 for c in held.values()) else F.lit(1)
-    dealt = coded.select("cell", F.pmod(F.xxhash64("vec_id"), chunks).cast("int").alias("chunk"), "vec_id", "vec", "code")
+    asked = coded.filter("asks").dropDuplicates(["vec_id"]).select("vec_id", "vec").mapInArrow(probe, "cell int, chunk int, query_id long, vec array<double>")
+    asked = stage(asked, "ann-queries")
+    # A cell's queries are dealt to pieces as its rows are to chunks; every piece meets every chunk.
+    load = {r["cell"]: -(-r["count"] // query_rows) for r in asked.filter("chunk = 0").groupBy("cell").count().collect()}
+    shape = F.broadcast(spark.createDataFrame([(int(c), int(n), int(load.get(c, 0))) for c, n in held.items()], "cell int, chunks int, pieces int"))
+    queries = asked.join(shape, "cell").select("cell", "chunk", F.pmod(F.xxhash64("query_id"), F.col("pieces")).cast("int").alias("piece"), "query_id", "vec")
+    dealt = coded.join(shape, "cell").filter("pieces > 0").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "vec_id", "vec", "code")
 
     def scan(ask: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -224,7 +228,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
                 out.append((np.full(len(top), who[i]), ids[near[top]], exact[top]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    hits = queries.groupBy("cell", "chunk").cogroup(dealt.groupBy("cell", "chunk")).applyInPandas(scan, "query_id long, vec_id long, score double")
+    hits = queries.groupBy("cell", "chunk", "piece").cogroup(dealt.groupBy("cell", "chunk", "piece")).applyInPandas(scan, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     ranked = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", place).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -223,7 +223,7 @@ def test_ann_recall_and_rules(spark):
     rows = [(i, x[i].tolist()) for i in range(3000)]
     rows += [(4000, None), (4020, [0.0] * 16), (4040, [float("nan")] * 16), (4060, [None] * 16), (4080, [1.0] * 5), (None, [1.0] * 16), (5000, x[0].tolist()), (5001, x[0].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.search(df, F.col("vec_id") % 20 == 0, cell_rows=300).collect()
+    got = ann.search(df, F.col("vec_id") % 20 == 0, cell_rows=300, query_rows=40).collect()
     ids = np.r_[np.arange(3000), 5000, 5001]
     full = np.r_[x, x[:1], x[:1]].astype(float)
     of = defaultdict(list)
