@@ -17,7 +17,7 @@ DRAWS = "shard_id int, chain int, draw long, theta array<double>, log_p double,
 
 
 def sample_shards(frequencies: DataFrame, spec: Spec, shards: int, settings: Settings, n: int | None = None, covariates: list[str] | None = None, mean: tuple[float, int] | None = None, prior_shards: int | None = None) -> DataFrame:
-    """Fit and sample every shard: one row per draw.
+    """Fit and sample every shard: one row per draw, the fit itself on the first row of each shard.
 
     frequencies has shard_id, omega and periodogram, or with covariates their
     joint spectrum. Each shard is one partition and one task, found by its id.
@@ -46,8 +46,12 @@ def sample_shards(frequencies: DataFrame, spec: Spec, shards: int, settings: Set
             if settings.burn:
                 start = kernels.random_walk(target, spec.bounded, start, cov, settings.burn, rng).draws[-1]
             chain = kernels.random_walk(target, spec.bounded, start, cov, settings.draws, rng)
-            out.append(pd.DataFrame({"shard_id": np.int32(g), "chain": np.int32(c), "draw": np.arange(settings.draws), "theta": chain.draws.tolist(), "log_p": chain.log_p, "accepted": chain.accepted, "map": [fit.theta.tolist()] * settings.draws, "newton_distance": fit.newton_distance, "proper": fit.proper}))
-        return pd.concat(out)
+            out.append(pd.DataFrame({"shard_id": np.int32(g), "chain": np.int32(c), "draw": np.arange(settings.draws), "theta": chain.draws.tolist(), "log_p": chain.log_p, "accepted": chain.accepted, "map": None, "newton_distance": np.nan, "proper": None}))
+        found = pd.concat(out, ignore_index=True).astype({"map": object, "proper": object})
+        # The fit goes with the shard's first draw only.
+        found.at[0, "map"], found.at[0, "newton_distance"], found.at[0, "proper"] = fit.theta.tolist(), fit.newton_distance, fit.proper
+        found["newton_distance"] = found["newton_distance"].astype(object).where(found["proper"].notna(), None)
+        return found
 
     rows = frequencies.select("shard_id", "omega", *used)
     return rows.repartitionById(shards, "shard_id").groupBy("shard_id").applyInPandas(lambda key, pdf: run(key, pdf), DRAWS)
@@ -55,7 +59,7 @@ def sample_shards(frequencies: DataFrame, spec: Spec, shards: int, settings: Set
 
 def shard_summary(draws: DataFrame) -> DataFrame:
     """One row per shard: MAP, its quality, acceptance and the number of draws."""
-    return draws.groupBy("shard_id").agg(F.first("map").alias("map"), F.first("newton_distance").alias("newton_distance"), F.first("proper").alias("proper"), F.avg(F.col("accepted").cast("double")).alias("acceptance_rate"), F.max("log_p").alias("best_log_p"), F.count(F.lit(1)).alias("draws"))
+    return draws.groupBy("shard_id").agg(F.first("map", True).alias("map"), F.max("newton_distance").alias("newton_distance"), F.bool_and("proper").alias("proper"), F.avg(F.col("accepted").cast("double")).alias("acceptance_rate"), F.max("log_p").alias("best_log_p"), F.count(F.lit(1)).alias("draws"))
 
 
 @dataclass
