@@ -7,7 +7,8 @@ other low one lies within ``least`` bytes before it: cuts depend on nearby bytes
 alone, and what is inserted moves those around it and no others. Chunks are
 deduplicated by a 64-bit digest across documents. A passage counts as repeated
 where neighbouring chunks that other documents hold too add up to ``least_words``
-words or more; shorter chance repeats are left alone.
+words or more; shorter chance repeats are left alone. Each of its chunks stays in
+the smallest document that holds that chunk.
 """
 
 from __future__ import annotations
@@ -87,11 +88,13 @@ def chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_words: int = 20, **how) -> DataFrame:
-    """One row per passage that other documents hold too.
+    """Passages that other documents hold too, one row per piece with one first document.
 
     doc_id, start and stop (bytes of the UTF-8 text), n_words, n_chunks,
-    first_doc_id (the smallest doc_id that holds one of its chunks), stays (true
-    in the document that keeps it) and digest. Documents without such passages
+    first_doc_id (the smallest doc_id that holds each of its chunks), stays (true
+    in that document) and digest. A passage of least_words words or more is split
+    where the first document changes, so that each chunk stays in its own first
+    document; a piece may be shorter. Documents without such passages
     have no row. A passage that repeats only within its document doesn't count;
     rows that share a doc_id are one document, as are rows without one. Null
     texts are empty and have no chunks; other columns are not read.
@@ -103,12 +106,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     each = found.select("row", doc.alias("doc"), F.posexplode(F.arrays_zip("ends", "digests", "words")).alias("pos", "c")).select("row", "doc", "pos", F.col("c.digests").alias("digest"), F.col("c.ends").alias("stop"), F.col("c.words").alias("words"))
     hits = each.join(shared, "digest")
     along = Window.partitionBy("row").orderBy("pos")
-    run = F.col("pos") - F.row_number().over(along)
+    near = F.lag("pos").over(along).eqNullSafe(F.col("pos") - 1)
+    same = near & F.lag("first").over(along).eqNullSafe(F.col("first"))
+    marked = hits.withColumn("_run", (~near).cast("int")).withColumn("_piece", (~same).cast("int"))
+    numbered = marked.withColumn("run", F.sum("_run").over(along)).withColumn("piece", F.sum("_piece").over(along))
+    whole = Window.partitionBy("row", "run")
     spans = (
-        hits.withColumn("run", run)
-        .groupBy("row", "doc", "run")
+        numbered.groupBy("row", "doc", "run", "piece")
         .agg(F.min("pos").alias("pos"), F.max("stop").alias("stop"), F.sum("words").cast("long").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("first").alias("first"), F.xxhash64(F.sum(F.xxhash64("digest").cast("decimal(38,0)"))).alias("digest"))
-        .filter(F.col("n_words") >= least_words)
+        .withColumn("_passage", F.sum("n_words").over(whole))
+        .filter(F.col("_passage") >= least_words)
     )
     start = F.when(F.col("pos") == 0, 0).otherwise(F.element_at("ends", F.col("pos")))
     of_row = found.select("row", "doc_id", "ends")
@@ -140,9 +147,20 @@ def cut_repeats(docs: DataFrame, spans: DataFrame, text: str = "text", doc_id: s
                 out.append(t)
                 continue
             raw, at, parts = t.encode("utf-8", "replace"), 0, []
+            gaps = []
             for s in spans:
-                parts.append(raw[at : s["start"]])
-                at = s["stop"]
+                if gaps and s["start"] <= gaps[-1][1]:
+                    gaps[-1][1] = max(gaps[-1][1], s["stop"])
+                else:
+                    gaps.append([s["start"], s["stop"]])
+            for start, stop in gaps:
+                # A character with bytes on both sides of an edge stays.
+                while start < stop and raw[start] & 0xC0 == 0x80:
+                    start += 1
+                while start < stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+                    stop -= 1
+                parts.append(raw[at:start])
+                at = stop
             out.append(b"".join([*parts, raw[at:]]).decode("utf-8", "ignore"))
         return pd.Series(out)
 

@@ -370,6 +370,32 @@ def test_repeated_spans(spark):
     assert substring.repeated_spans(docs(spark, [])).count() == 0
 
 
+def test_every_shared_passage_stays_once(spark):
+    rnd = random.Random(14)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopé") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    line, b, c, d = text(14), text(60), text(60), text(80)
+    rows = [(3, f"{text(40)} {line} {text(40)}", "s")]
+    rows += [(i, f"{text(30)} {b} {line} {c} {text(30)}", "s") for i in (10, 12, 17)]
+    rows += [(i, f"{d} {line}", "s") for i in (20, 21)]
+    rows += [(30, f"{b} {text(25)}", "s"), (31, text(70), "s")]
+    df = docs(spark, rows)
+    spans = substring.repeated_spans(df)
+    cut = {r["doc_id"]: r["text"] for r in substring.cut_repeats(df, spans).collect()}
+    for passage in (b, c, d):
+        inner = " ".join(passage.split()[12:-12])
+        assert sum(inner in t for t in cut.values()) == 1
+    assert line in cut[3]
+    gone = [r for r in spans.collect() if not r["stays"]]
+    cuts, holders = defaultdict(set), defaultdict(set)
+    for i, t, _ in rows:
+        ends, digests, _ = substring.chunk([t.encode()])[0]
+        for stop, x in zip(ends.tolist(), digests.tolist(), strict=True):
+            holders[x].add(i)
+            if any(r["doc_id"] == i and r["start"] < stop <= r["stop"] for r in gone):
+                cuts[x].add(i)
+    assert cuts and all(min(holders[x]) not in ids for x, ids in cuts.items())
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<html>" + "é" * 200_000
     rows = [(1, "http://a", "x" * 99), (2, "http://b", "x" * 99), (3, "http://c\r\nInjected: 1", "y" * 100), (4, None, "y" * 100), (5, "u", None), (6, "u", ""), (7, "u", big), (8, "u", big), (8, "u", big), (None, "u", big)]
