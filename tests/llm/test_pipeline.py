@@ -1,6 +1,7 @@
 """The pipeline against its stages' rules, on the smallest table."""
 
 import hashlib
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -49,3 +50,40 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_near_copies_match_brute_force(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(rnd.choices(words, k=15))
+    rows = [(i, f"{' '.join(rnd.choices(words, k=rnd.randint(20, 90)))} {line}") for i in range(60)]
+    base = rnd.choices(words, k=200)
+    rows += [(100 + i, " ".join(rnd.choice(words) if rnd.random() < 0.015 else w for w in base)) for i in range(60)]
+    for i in range(40):
+        t = rows[rnd.randrange(60)][1].split()
+        for _ in range(rnd.randint(1, 3)):
+            t[rnd.randrange(len(t))] = rnd.choice(words)
+        rows.append((200 + i, " ".join(t)))
+    rows += [(300, "a b c"), (301, "A  b c"), (302, "a b d"), (303, ""), (304, "  "), (305, None), (305, None), (None, "a b c")]
+    rows += [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000).collect()]
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if group[i] != group[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for g, (i, _) in zip(group, rows, strict=True):
+        least[g] = min((x for x in (i, least.get(g)) if x is not None), default=None)
+    want = Counter((i, t) for g, (i, t) in zip(group, rows, strict=True) if i == least[g])
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, df, SF).collect())
+    assert got == want
+    assert corpus_pipeline.near_copies(spark, df.limit(0), SF).count() == 0
