@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,15 +103,23 @@ def kernel_product(draws: DataFrame, dims: int, n: int, seed: int = 0, semi: boo
 
     One index per shard is moved at a time; the bandwidth falls with the draw
     number as T^(-1/(4+d)). semi multiplies each component by the ratio of the
-    shards' Gaussian fits. The sampler needs all shards together: it runs in
-    one task, over shards already reduced to their draws.
+    shards' Gaussian fits, which are sums over all draws. The sampler needs all
+    shards together: it runs in one task. The indices it will try, n + burn + 1
+    a shard, are drawn beforehand over all draws, and only those draws go there.
     """
+    fits = sorted(covariances(draws.filter("shard_id is not null"), dims).collect(), key=lambda r: r["shard_id"])
+    if not fits:
+        return draws.sparkSession.createDataFrame([], "draw long, theta array<double>")
+    m, steps = len(fits), n + burn + 1
+    tries = [np.random.default_rng([seed, j]).integers(r["n"], size=steps) for j, r in enumerate(fits)]
+    gauss = [(np.array(r["means"], float), np.array(r["cov"], float).reshape(dims, dims)) for r in fits]
+    of_shard = {r["shard_id"]: j for j, r in enumerate(fits)}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
-        sets = [np.stack(g.sort_values("draw")["theta"].to_numpy()) for _, g in pdf.groupby("shard_id", sort=True)]
-        m, size = len(sets), min(map(len, sets))
-        gauss = [(s.mean(0), np.atleast_2d(np.cov(s.T))) for s in sets]
+        sets: list[dict[int, np.ndarray]] = [{} for _ in range(m)]
+        for shard, k, theta in zip(pdf["shard_id"], pdf["k"], pdf["theta"], strict=True):
+            sets[of_shard[shard]][int(k)] = np.asarray(theta, float)
         prec = [np.linalg.inv(c) for _, c in gauss]
         joint = np.linalg.inv(np.sum(prec, axis=0))
         centre = joint @ np.sum([p @ g[0] for p, g in zip(prec, gauss, strict=True)], axis=0)
@@ -125,14 +133,14 @@ def kernel_product(draws: DataFrame, dims: int, n: int, seed: int = 0, semi: boo
                 out += 0.5 * sum((r - g[0]) @ p @ (r - g[0]) for r, g, p in zip(rows, gauss, prec, strict=True))
             return out
 
-        index = [int(rng.integers(len(s))) for s in sets]
+        index = [int(t[0]) for t in tries]
         out = []
         for i in range(n + burn):
             h = float((max(1, i - burn) + 1) ** (-1 / (4 + dims))) * float(np.mean([np.sqrt(np.diag(g[1])).mean() for g in gauss]))
             rows = np.stack([s[k] for s, k in zip(sets, index, strict=True)])
             now = score(rows, h)
             for j in range(m):
-                k = int(rng.integers(len(sets[j])))
+                k = int(tries[j][i + 1])
                 trial = rows.copy()
                 trial[j] = sets[j][k]
                 new = score(trial, h)
@@ -145,9 +153,13 @@ def kernel_product(draws: DataFrame, dims: int, n: int, seed: int = 0, semi: boo
                     mid = cov @ (np.linalg.solve(spread, mid) + np.linalg.solve(joint, centre))
                     spread = cov
                 out.append((i - burn, rng.multivariate_normal(mid, spread).tolist()))
-        return pd.DataFrame(out, columns=["draw", "theta"]) if size else pd.DataFrame({"draw": [], "theta": []})
+        return pd.DataFrame(out, columns=["draw", "theta"])
 
-    return draws.select("shard_id", "draw", "theta", F.lit(0).alias("one")).groupBy("one").applyInPandas(lambda pdf: run(pdf), "draw long, theta array<double>")
+    wanted = [(r["shard_id"], int(k)) for r, t in zip(fits, tries, strict=True) for k in np.unique(t)]
+    table = draws.sparkSession.createDataFrame(wanted, f"shard_id {draws.schema['shard_id'].dataType.simpleString()}, k long")
+    k = (F.row_number().over(Window.partitionBy("shard_id").orderBy("draw")) - 1).cast("long")
+    picked = draws.withColumn("k", k).join(F.broadcast(table), ["shard_id", "k"])  # n + burn + 1 rows a shard at most
+    return picked.select("shard_id", "k", "theta", F.lit(0).alias("one")).groupBy("one").applyInPandas(lambda pdf: run(pdf), "draw long, theta array<double>")
 
 
 def surrogate_importance(draws: DataFrame, dims: int, n: int, seed: int = 0, scale: float = 1.5, dof: int = 5, most: int = 400) -> DataFrame:

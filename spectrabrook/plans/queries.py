@@ -706,7 +706,7 @@ def block_sampling(spark, sf_dir):
 
 @query()
 def kernel_product_draws(spark, sf_dir):
-    return combine.kernel_product(event_draws(spark, sf_dir).filter("draw < 300"), 2, 200, semi=True)
+    return combine.kernel_product(event_draws(spark, sf_dir), 2, 200, semi=True)
 
 
 @query()

@@ -220,3 +220,13 @@ def test_sinks(spark, tmp_path):
     sinks.append_summary(work, str(tmp_path / "s"), method="a")
     sinks.append_summary(work, str(tmp_path / "s"), method="b")
     assert spark.read.parquet(str(tmp_path / "s")).count() == 6
+
+
+def test_kernel_product_draws_from_all_draws(spark, tmp_path):
+    from spectrabrook.plans import queries
+
+    rng = np.random.default_rng(8)
+    rows = [(i, f"type{i % 2}", float((1.0 if i < 700 else 3.0) + 0.1 * rng.normal())) for i in range(8000)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = np.stack([r["theta"] for r in queries.kernel_product_draws(spark, str(tmp_path)).collect()])
+    assert got.shape == (200, 2) and np.median(got[:, 0]) > 2
