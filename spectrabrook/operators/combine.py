@@ -166,8 +166,8 @@ def surrogate_importance(draws: DataFrame, dims: int, n: int, seed: int = 0, sca
     """Importance sampling on Gaussian-process surrogates of the shards' log densities.
 
     draws also holds log_p, each shard's log density at its draws. Per shard a
-    process with a quadratic mean is fitted to at most `most` evenly spaced
-    draws, a documented bound; proposals are a t of dof degrees around the
+    process lies on at most `most` evenly spaced draws, a documented bound; its
+    quadratic mean, the covariances and the centre are of all draws. Proposals are a t of dof degrees around the
     consensus, weights are the summed surrogates less the proposal, by
     log-sum-exp, and n draws are resampled. Returns draw, theta and ess.
     """
@@ -181,7 +181,6 @@ def surrogate_importance(draws: DataFrame, dims: int, n: int, seed: int = 0, sca
         shards = []
         for _, g in pdf.groupby("shard_id", sort=True):
             g = g.sort_values("draw")
-            g = g.iloc[np.unique(np.linspace(0, len(g) - 1, min(most, len(g))).astype(int))]
             shards.append((np.stack(g["theta"].to_numpy()), g["log_p"].to_numpy(float)))
         cov = [np.atleast_2d(np.cov(x.T)) + 1e-10 * np.eye(dims) for x, _ in shards]
         prec = [np.linalg.inv(c) for c in cov]
@@ -195,6 +194,8 @@ def surrogate_importance(draws: DataFrame, dims: int, n: int, seed: int = 0, sca
             half = np.linalg.inv(np.linalg.cholesky(c))
             u, v = (x - x.mean(0)) @ half.T, (points - x.mean(0)) @ half.T
             beta, *_ = np.linalg.lstsq(quadratic(u), y, rcond=None)
+            anchors = np.unique(np.linspace(0, len(u) - 1, min(most, len(u))).astype(int))
+            u, y = u[anchors], y[anchors]
             rest = y - quadratic(u) @ beta
             k = np.exp(-0.5 * ((u[:, None] - u[None]) ** 2).sum(2))
             alpha = np.linalg.solve(k + 1e-4 * np.eye(len(u)), rest)

@@ -230,3 +230,11 @@ def test_kernel_product_draws_from_all_draws(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = np.stack([r["theta"] for r in queries.kernel_product_draws(spark, str(tmp_path)).collect()])
     assert got.shape == (200, 2) and np.median(got[:, 0]) > 2
+
+
+def test_surrogate_uses_all_draws(spark):
+    rng = np.random.default_rng(9)
+    sets = [np.where(np.arange(199)[:, None] % 2 == 0, 3 + 0.05 * rng.normal(size=(199, 1)), rng.normal(size=(199, 1))) for _ in range(2)]
+    df = draws_frame(spark, sets).withColumn("log_p", -0.5 * F.pow(F.col("theta")[0], 2))
+    got = [r["theta"][0] for r in combine.surrogate_importance(df, 1, 500, most=100).collect()]
+    assert abs(np.mean(got)) < 1
