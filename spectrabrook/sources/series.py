@@ -122,11 +122,16 @@ def read_panel(spark: SparkSession, path: str, manifest: str | None = None) -> D
     return df
 
 
-def event_draws(events: DataFrame) -> DataFrame:
-    """Events as draws: shard_id by type in order of name, draw by event_id from 0, theta the value and its logarithm."""
+def event_draws(events: DataFrame, most: int = 10_000) -> DataFrame:
+    """Events as draws: shard_id by type in order of name, draw by event_id from 0, theta the value and its logarithm.
+
+    Events without a type are a type of their own; more than most types are refused.
+    """
     from pyspark.sql import Window
 
-    types = events.select("event_type").distinct().orderBy("event_type").limit(10_000).collect()
-    ids = events.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(types)], "event_type string, shard_id int")
+    types = events.select("event_type").distinct().orderBy("event_type").limit(most + 1).collect()
+    if len(types) > most:
+        raise ValueError(f"event_draws: more than {most} event types")
+    ids = events.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(types)], "_type string, shard_id int")
     draw = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    return events.withColumn("draw", draw.cast("long")).join(F.broadcast(ids), "event_type").select("shard_id", "draw", F.array(F.col("value"), F.log("value")).alias("theta"))
+    return events.withColumn("draw", draw.cast("long")).join(F.broadcast(ids), F.col("event_type").eqNullSafe(F.col("_type"))).select("shard_id", "draw", F.array(F.col("value"), F.log("value")).alias("theta"))

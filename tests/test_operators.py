@@ -238,3 +238,11 @@ def test_surrogate_uses_all_draws(spark):
     df = draws_frame(spark, sets).withColumn("log_p", -0.5 * F.pow(F.col("theta")[0], 2))
     got = [r["theta"][0] for r in combine.surrogate_importance(df, 1, 500, most=100).collect()]
     assert abs(np.mean(got)) < 1
+
+
+
+def test_event_draws_lose_no_type(spark):
+    df = spark.createDataFrame([(1, "b", 1.0), (2, None, 2.0), (3, "a", 3.0)], "event_id long, event_type string, value double")
+    assert sorted(r["theta"][0] for r in series.event_draws(df).collect()) == [1.0, 2.0, 3.0]
+    with pytest.raises(ValueError):
+        series.event_draws(df, most=2)
