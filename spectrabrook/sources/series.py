@@ -126,6 +126,7 @@ def event_draws(events: DataFrame, most: int = 10_000) -> DataFrame:
     """Events as draws: shard_id by type in order of name, draw by event_id from 0, theta the value and its logarithm.
 
     Events without a type are a type of their own; more than most types are refused.
+    The logarithm of zero is minus infinity, that of a negative value null.
     """
     from pyspark.sql import Window
 
@@ -134,4 +135,5 @@ def event_draws(events: DataFrame, most: int = 10_000) -> DataFrame:
         raise ValueError(f"event_draws: more than {most} event types")
     ids = events.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(types)], "_type string, shard_id int")
     draw = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    return events.withColumn("draw", draw.cast("long")).join(F.broadcast(ids), F.col("event_type").eqNullSafe(F.col("_type"))).select("shard_id", "draw", F.array(F.col("value"), F.log("value")).alias("theta"))
+    log = F.when(F.col("value") == 0, F.lit(float("-inf"))).otherwise(F.log("value"))
+    return events.withColumn("draw", draw.cast("long")).join(F.broadcast(ids), F.col("event_type").eqNullSafe(F.col("_type"))).select("shard_id", "draw", F.array(F.col("value"), log).alias("theta"))
