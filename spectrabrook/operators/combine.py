@@ -53,16 +53,21 @@ def consensus_weights(covs: Sequence[np.ndarray], ridge: float = 1e-8) -> np.nda
     return np.stack([np.linalg.solve(total, w) for w in checked])
 
 
-def consensus(draws: DataFrame, dims: int, ridge: float = 1e-8, given: dict[int, np.ndarray] | None = None) -> DataFrame:
+def consensus(draws: DataFrame, dims: int, ridge: float = 1e-8, given: dict[int, np.ndarray] | None = None, undefined: str = "raise") -> DataFrame:
     """Precision-weighted sum over shards of each aligned draw.
 
     One weight matrix per shard, from all its draws or given, goes out to the
-    tasks; a shard's matrix is dims x dims, so this is small.
+    tasks; a shard's matrix is dims x dims, so this is small. Where a covariance
+    isn't finite there are no weights: that raises, or with undefined "nan"
+    every draw is NaN.
     """
     if given is None:
         given = {r["shard_id"]: np.array(r["cov"]).reshape(dims, dims) for r in covariances(draws, dims).collect()}
     ids = sorted(given)
-    weights = consensus_weights([given[i] for i in ids], ridge)
+    if undefined == "nan" and not all(np.isfinite(given[i]).all() for i in ids):
+        weights = np.full((len(ids), dims, dims), np.nan)
+    else:
+        weights = consensus_weights([given[i] for i in ids], ridge)
     table = draws.sparkSession.createDataFrame([(int(i), w.ravel().tolist()) for i, w in zip(ids, weights, strict=True)], "shard_id int, w array<double>")
     rows = aligned(draws).join(F.broadcast(table), "shard_id")
     part = [sum((F.col("w")[a * dims + b] * F.col("theta")[b] for b in range(1, dims)), F.col("w")[a * dims] * F.col("theta")[0]) for a in range(dims)]
@@ -106,7 +111,9 @@ def kernel_product(draws: DataFrame, dims: int, n: int, seed: int = 0, semi: boo
     shards' Gaussian fits, which are sums over all draws. The sampler needs all
     shards together: it runs in one task. The indices it will try, n + burn + 1
     a shard, are drawn beforehand over all draws, and only those draws go there.
+    Draws with a null or non-finite component have no density and take no part.
     """
+    draws = draws.filter(F.forall(F.slice("theta", 1, dims), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     fits = sorted(covariances(draws.filter("shard_id is not null"), dims).collect(), key=lambda r: r["shard_id"])
     if not fits:
         return draws.sparkSession.createDataFrame([], "draw long, theta array<double>")

@@ -415,7 +415,7 @@ t as (select sum(w00) as t00, sum(w01) as t01, sum(w11) as t11 from w),
 s as (select draw, sum(w00 * a + w01 * b) as x, sum(w01 * a + w11 * b) as y from al join w using (shard_id) group by 1)
 select draw, round((t11 * x - t01 * y) / (t00 * t11 - t01 * t01), 6) as a, round((t00 * y - t01 * x) / (t00 * t11 - t01 * t01), 6) as b from s, t""")
 def consensus(spark, sf_dir):
-    out = combine.consensus(event_draws(spark, sf_dir), 2)
+    out = combine.consensus(event_draws(spark, sf_dir), 2, undefined="nan")
     return out.select("draw", r6(F.col("theta")[0]).alias("a"), r6(F.col("theta")[1]).alias("b"))
 
 

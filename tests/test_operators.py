@@ -246,3 +246,15 @@ def test_event_draws_lose_no_type(spark):
     assert sorted(r["theta"][0] for r in series.event_draws(df).collect()) == [1.0, 2.0, 3.0]
     with pytest.raises(ValueError):
         series.event_draws(df, most=2)
+
+
+def test_a_zero_has_an_infinite_logarithm_and_no_consensus(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], float(i // 2)) for i in range(20)], "event_id long, event_type string, value double")
+    draws = series.event_draws(df)
+    assert sorted(r["theta"][1] for r in draws.collect())[:3] == [-np.inf, -np.inf, 0.0]
+    got = combine.consensus(draws, 2, undefined="nan").collect()
+    assert len(got) == 10 and all(np.isnan(r["theta"]).all() for r in got)
+    with pytest.raises(ValueError):
+        combine.consensus(draws, 2)
+    kept = combine.kernel_product(draws, 2, 30, seed=4).collect()
+    assert len(kept) == 30 and np.isfinite([r["theta"] for r in kept]).all()
