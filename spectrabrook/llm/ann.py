@@ -2,7 +2,8 @@
 
 Coarse cells split the index; a query visits the cells whose centres score
 best, as many as find ``recall`` of the true neighbours within the sample, where
-neighbours lie further apart than in the whole table. Within a cell each
+neighbours lie further apart than in the whole table, and more where those hold
+too few rows for k neighbours. Within a cell each
 vector is sixteen-way quantised per pair of dimensions. Codebooks and codes
 minimise the anisotropic loss |r|^2 + (eta - 1) <r, x/|x|>^2, which penalises
 the part of the residual parallel to the vector, the part that changes large
@@ -144,29 +145,66 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64, copy=False)
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 20_000, recall: float = 0.98, rerank: int = 40, cell_rows: int = 8192, query_rows: int = 16_384, most_cells: int = 16_384, seed: int = 11) -> DataFrame:
+def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x with q, each row's sum in the same order wherever the row lies."""
+    return (x * q).sum(axis=1)
+
+
+def visited(score: np.ndarray, rows: np.ndarray, probes: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, cell) of the cells each query visits, given its scores of all centres and the cells' rows.
+
+    Centres in order of score, until `probes` cells are visited and they hold
+    `least` rows or all there are. Cells without rows are no visit.
+    """
+    full = np.flatnonzero(rows > 0)
+    order = np.argsort(-score[:, full], axis=1, kind="stable")
+    held = np.cumsum(rows[full][order], axis=1)
+    before = np.c_[np.zeros(len(score), np.int64), held[:, :-1]]
+    who, place = np.nonzero((np.arange(len(full)) < probes) | (before < least))
+    return who, full[order[who, place]]
+
+
+def one_vector(good: DataFrame) -> DataFrame:
+    """Rows with one vector for each vec_id: of several the greatest, component by component.
+
+    Only ids are exchanged to find those that repeat; vectors are where some do.
+    """
+    again = stage(good.groupBy("vec_id").count().filter("count > 1").select("vec_id"), "ann-repeats")
+    if again.isEmpty():
+        return good
+    once = good.join(again, "vec_id", "left_anti")
+    return once.unionByName(good.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.max("vec").alias("vec"), F.max("asks").alias("asks")).select(*good.columns))
+
+
+def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 20_000, recall: float = 0.98, rerank: int = 40, cell_rows: int = 8192, query_rows: int = 16_384, most_cells: int = 16_384, fit_bytes: int = 64 << 20, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each query.
 
-    is_query is a condition on rows. Vectors that are null, zero, or hold null
-    or non-finite components take no part, nor do rows without vec_id or with
-    another number of dimensions than most have. A query's own vec_id is no
-    candidate; ties go to the smaller vec_id; rows that repeat a vec_id count
-    once in a result. An empty table gives an empty result.
+    Every query gets k rows, or all candidates if there are fewer: cells are
+    visited until they hold that many. is_query is a condition on rows. Vectors
+    that are null, zero, or hold null or non-finite components take no part,
+    nor do rows without vec_id or with another number of dimensions than most
+    have. A query's own vec_id is no candidate; ties go to the smaller vec_id;
+    of rows that repeat a vec_id the one with the greatest vector stands for
+    all, and asks if any does. An empty table gives an empty result; other
+    columns, whatever their names, are not read. The sample and the centres are
+    bounded by rows and by fit_bytes; long vectors mean fewer of both.
     """
     spark = rows.sparkSession
-    v = F.col(embedding).cast("array<double>")
-    good = rows.filter(F.col(vec_id).isNotNull() & usable(F.col(embedding))).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("vec"), is_query.alias("asks"))
+    ids, v = rows[vec_id], rows[embedding]
+    good = rows.filter(ids.isNotNull() & usable(v)).select(ids.cast("long").alias("vec_id"), v.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     found = good.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, n = int(found["dims"]), int(found["count"])
-    good = good.filter(F.size("vec") == dims)
-    cells = int(min(most_cells, max(1, round(n**0.5 / 8))))
-    picked = good.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample).select("vec").toPandas()
+    good = one_vector(good.filter(F.size("vec") == dims))
+    most_rows = max(1, fit_bytes // (8 * dims))
+    cells = int(min(most_cells, most_rows, max(1, round(n**0.5 / 8))))
+    picked = good.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(min(sample, most_rows)).select("vec").toPandas()
     train = np.stack(picked["vec"].to_numpy()).astype(np.float64)
     index = fit(train, cells, seed)
     probes = probes_for(index, train, k, recall)
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(index)  # fit_bytes at most
+    kind = good.schema["vec"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
@@ -176,29 +214,29 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
             codes = at.encode(x, cell)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(2)], names=["cell", "vec_id", "vec", "code", "asks"])
 
-    coded = stage(good.mapInArrow(encode, "cell int, vec_id long, vec array<double>, code binary, asks boolean"), "ann-index")
-    # At most most_cells rows: how many chunks a cell is dealt to.
-    held = {r["cell"]: -(-r["count"] // cell_rows) for r in coded.groupBy("cell").count().collect()}
+    coded = stage(good.mapInArrow(encode, f"cell int, vec_id long, vec {kind}, code binary, asks boolean"), "ann-index")
+    # One row per cell, most_cells at most.
+    held = np.zeros(len(index.centres), np.int64)
+    for r in coded.groupBy("cell").count().collect():
+        held[r["cell"]] = r["count"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
-        most = min(probes, len(at.centres))
         for b in batches:
-            x = _matrix(b.column(1), dims)
-            score = x @ at.centres.T
-            near = np.argpartition(-score, most - 1, axis=1)[:, :most]
-            out = [(i, c, j) for i in range(len(x)) for c in near[i].tolist() for j in range(held.get(c, 0))]
-            if out:
-                i, c, j = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(j, pa.int32()), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i))], names=["cell", "chunk", "query_id", "vec"])
-
-    asked = coded.filter("asks").dropDuplicates(["vec_id"]).select("vec_id", "vec").mapInArrow(probe, "cell int, chunk int, query_id long, vec array<double>")
-    asked = stage(asked, "ann-queries")
-    # A cell's queries are dealt to pieces as its rows are to chunks; every piece meets every chunk.
-    load = {r["cell"]: -(-r["count"] // query_rows) for r in asked.filter("chunk = 0").groupBy("cell").count().collect()}
-    shape = F.broadcast(spark.createDataFrame([(int(c), int(n), int(load.get(c, 0))) for c, n in held.items()], "cell int, chunks int, pieces int"))
-    queries = asked.join(shape, "cell").select("cell", "chunk", F.pmod(F.xxhash64("query_id"), F.col("pieces")).cast("int").alias("piece"), "query_id", "vec")
-    dealt = coded.join(shape, "cell").filter("pieces > 0").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "vec_id", "vec", "code")
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                who, cell = visited(_matrix(part.column(1), dims) @ at.centres.T, held, probes, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), part.column(0).take(pa.array(who))], names=["cell", "query_id"])
+
+    asking = coded.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("ask"))
+    visits = stage(asking.mapInArrow(probe, "cell int, query_id long"), "ann-visits")  # ids only
+    # A cell's queries are dealt to pieces and its rows to chunks; every piece meets every chunk.
+    load = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+    shape = F.broadcast(spark.createDataFrame([(c, -(-int(held[c]) // cell_rows), -(-m // query_rows)) for c, m in load.items()], "cell int, chunks int, pieces int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = visits.join(shape, "cell").withColumn("piece", F.pmod(F.xxhash64("query_id"), F.col("pieces")).cast("int")).join(asking, "query_id")
+    queries = asked.withColumn("chunk", each("chunks")).select("cell", "chunk", "piece", "query_id", "ask")
+    dealt = coded.join(shape, "cell").withColumn("piece", each("pieces")).select("cell", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "piece", "vec_id", "vec", "code")
 
     def scan(ask: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -206,9 +244,9 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
             return empty
         at = shared.value
         data = data.sort_values("vec_id", kind="stable")
-        ids, x = data["vec_id"].to_numpy(), np.stack(data["vec"].to_numpy())
+        ids, x = data["vec_id"].to_numpy(), np.stack(data["vec"].to_numpy()).astype(np.float64, copy=False)
         code = np.frombuffer(b"".join(data["code"]), np.uint8).reshape(len(data), -1)
-        names, q = ask["query_id"].to_numpy(), np.stack(ask["vec"].to_numpy())
+        names, q = ask["query_id"].to_numpy(), np.stack(ask["ask"].to_numpy()).astype(np.float64, copy=False)
         out = []
         for s in range(0, len(q), 64):
             part, who = q[s : s + 64], names[s : s + 64]
@@ -223,12 +261,13 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
                     above = np.flatnonzero(score[i] > least)
                     near = np.r_[above, np.flatnonzero(score[i] == least)[: rerank + 1 - len(above)]]
                 near = near[ids[near] != who[i]]
-                exact = x[near] @ part[i]
+                exact = inner(x[near], part[i])
                 top = np.lexsort((ids[near], -exact))[:k]
                 out.append((np.full(len(top), who[i]), ids[near[top]], exact[top]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
+    # A candidate lies in one cell and chunk and a query in one piece, so that no pair comes twice.
     hits = queries.groupBy("cell", "chunk", "piece").cogroup(dealt.groupBy("cell", "chunk", "piece")).applyInPandas(scan, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    ranked = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", place).filter(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", place).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -246,6 +246,40 @@ def test_ann_recall_and_rules(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_fills_every_query_beside_a_tiny_outlying_cell(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=16) * 4
+    x = np.r_[centre + 0.3 * rng.normal(size=(290, 16)), -centre + 0.3 * rng.normal(size=(10, 16))]
+    # Extra columns with names that the operator uses inside.
+    rows = [(i, v.tolist(), 7, 1, "q", [0.5]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell int, asks int, query_id string, vec array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {i: 20 for i in range(0, 300, 20)}
+    assert not got.duplicated(["query_id", "vec_id"]).any()
+    for i, j, s in zip(got["query_id"], got["vec_id"], got["score"], strict=True):
+        assert s == ann.inner(x[j : j + 1], x[i])[0]
+
+
+def test_ann_repeated_ids_count_once_by_their_greatest_vector(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(60)] + [(7, [500.0, 1.0]), (7, [-3.0, 2.0]), (40, [900.0, 0.0]), (40, [900.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0, k=3).select("query_id", "rank", "vec_id", "score").collect()))
+    x = {i: np.array([float(i), 1.0]) for i in range(60)} | {7: np.array([500.0, 1.0]), 40: np.array([900.0, 0.0])}
+    want = []
+    for q in (0, 20, 40):
+        best = sorted((-float(x[q] @ v), i) for i, v in x.items() if i != q)[:3]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == want
+
+
+def test_ann_visits_cells_until_they_hold_enough():
+    score, rows = np.array([[5.0, 4.0, 3.0, 2.0], [2.0, 3.0, 4.0, 5.0]]), np.array([3, 0, 4, 50])
+    who, cell = ann.visited(score, rows, 1, 6)
+    assert list(zip(who.tolist(), cell.tolist(), strict=True)) == [(0, 0), (0, 2), (1, 3)]
+    who, cell = ann.visited(score, rows, 2, 1000)
+    assert sorted(zip(who.tolist(), cell.tolist(), strict=True)) == [(q, c) for q in (0, 1) for c in (0, 2, 3)]
+
+
 def test_anisotropic_codes_lower_the_loss():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 8))
