@@ -8,7 +8,10 @@ vector is sixteen-way quantised per pair of dimensions. Codebooks and codes
 minimise the anisotropic loss |r|^2 + (eta - 1) <r, x/|x|>^2, which penalises
 the part of the residual parallel to the vector, the part that changes large
 inner products. A scan adds table entries, two codes to a byte; the best
-``rerank`` candidates of each cell are scored on the original vectors.
+``rerank`` candidates of each cell are scored on the original vectors, and with
+them every other one whose scanned score lies within ``margin`` root mean square
+errors of the k-th best of those: where neighbours lie too close together for
+the codes to tell them apart, all of them are.
 Centres and codebooks are fitted on a bounded sample; every row is indexed.
 """
 
@@ -150,6 +153,15 @@ def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)
 
 
+def best_of(score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n largest scores, of equal ones the first."""
+    if len(score) <= n:
+        return np.arange(len(score))
+    least = np.partition(score, -n)[-n]
+    above = np.flatnonzero(score > least)
+    return np.r_[above, np.flatnonzero(score == least)[: n - len(above)]]
+
+
 def visited(score: np.ndarray, rows: np.ndarray, probes: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, cell) of the cells each query visits, given its scores of all centres and the cells' rows.
 
@@ -176,7 +188,7 @@ def one_vector(good: DataFrame) -> DataFrame:
     return once.unionByName(good.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.max("vec").alias("vec"), F.max("asks").alias("asks")).select(*good.columns))
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 20_000, recall: float = 0.98, rerank: int = 40, cell_rows: int = 8192, query_rows: int = 16_384, most_cells: int = 16_384, fit_bytes: int = 64 << 20, seed: int = 11) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 20_000, recall: float = 0.98, rerank: int = 40, margin: float = 1.5, cell_rows: int = 8192, query_rows: int = 16_384, most_cells: int = 16_384, fit_bytes: int = 64 << 20, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each query.
 
     Every query gets k rows, or all candidates if there are fewer: cells are
@@ -248,18 +260,24 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
         code = np.frombuffer(b"".join(data["code"]), np.uint8).reshape(len(data), -1)
         names, q = ask["query_id"].to_numpy(), np.stack(ask["ask"].to_numpy()).astype(np.float64, copy=False)
         out = []
+        centre = at.centres[int(data["cell"].iloc[0])]
+        some = slice(None, None, max(1, len(x) // 64))
         for s in range(0, len(q), 64):
             part, who = q[s : s + 64], names[s : s + 64]
             table = at.tables(part)
             score = np.zeros((len(part), len(x)), np.float32)
             for j in range(code.shape[1]):
                 score += table[:, j, :].take(code[:, j], axis=1)
+            score += (part @ centre)[:, None].astype(np.float32)
+            # How far the scan is out for each query, from rows spread over the cell.
+            out_by = np.sqrt(((part @ x[some].T - score[:, some]) ** 2).mean(axis=1))
             for i in range(len(part)):
-                near = np.arange(len(x))
-                if len(x) > rerank + 1:
-                    least = np.partition(score[i], -(rerank + 1))[-(rerank + 1)]
-                    above = np.flatnonzero(score[i] > least)
-                    near = np.r_[above, np.flatnonzero(score[i] == least)[: rerank + 1 - len(above)]]
+                score[i, ids == who[i]] = -np.inf
+                near = best_of(score[i], rerank)
+                exact = inner(x[near], part[i])
+                if len(near) < len(x):
+                    least = np.sort(exact)[-min(k, len(exact))] - margin * out_by[i]
+                    near = np.union1d(near, np.flatnonzero(score[i] >= least))
                 near = near[ids[near] != who[i]]
                 exact = inner(x[near], part[i])
                 top = np.lexsort((ids[near], -exact))[:k]
