@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import random
 import zlib
 from collections.abc import Iterator
 
@@ -21,69 +23,56 @@ RULES = [
     ("block", "net/fr/"),
 ]
 
-# A small labelled URL table; 1 blocks.
-LABELLED = [
-    ("https://www.adult-videos.example.org/en/1", 1),
-    ("https://adult-x.example.net/en/22?page=2", 1),
-    ("http://m.adult-chat.example.org/de/31.html", 1),
-    ("https://blog.adultsonly.example.net/fr/4/", 1),
-    ("https://casino-bonus.example.org/en/516", 1),
-    ("https://www.casino-x.example.net/es/7.html", 1),
-    ("http://onlinecasino.example.org/play/8", 1),
-    ("https://m.casinos.example.net/de/99?ref=x", 1),
-    ("https://porn-tube.example.org/watch/10", 1),
-    ("https://www.freeporn.example.net/en/1101", 1),
-    ("https://xxx-clips.example.org/en/12", 1),
-    ("http://blog.xxx.example.net/13", 1),
-    ("https://cheap-pills.example.org/buy/viagra", 1),
-    ("https://www.pills-x.example.net/en/15#top", 1),
-    ("https://poker-bets.example.org/es/16", 1),
-    ("http://m.betting-x.example.net/fr/170.html", 1),
-    ("https://warez-x.example.org/download/crack", 1),
-    ("https://malware-x.example.net/en/19/", 1),
-    ("https://phishing-login.example.org/account/20", 1),
-    ("https://spam-x.example.net/en/2121", 1),
-    ("https://spam-links.example.org/de/23", 1),
-    ("https://www.link-spam.example.net/fr/24.html", 1),
-    ("http://blog.spamfarms.example.org/es/25/", 1),
-    ("https://ads-server.example.net/en/26", 1),
-    ("https://www.ads-click.example.org/de/27?ref=x", 1),
-    ("https://m.ad-tracker.example.net/fr/28", 1),
-    ("https://tracking-pixel.example.org/en/29", 1),
-    ("https://click-track.example.net/es/30.html", 1),
-    ("https://www.news.example.org/en/1", 0),
-    ("https://news.example.net/en/22?page=2", 0),
-    ("http://m.weather.example.org/de/31.html", 0),
-    ("https://blog.garden.example.net/fr/4/", 0),
-    ("https://library.example.org/en/516", 0),
-    ("https://www.museum.example.net/es/7.html", 0),
-    ("http://school.example.org/course/8", 0),
-    ("https://m.recipes.example.net/de/99?ref=x", 0),
-    ("https://travel.example.org/guide/10", 0),
-    ("https://www.science.example.net/en/1101", 0),
-    ("https://docs.example.org/en/12", 0),
-    ("http://blog.music.example.net/13", 0),
-    ("https://health.example.org/article/sleep", 0),
-    ("https://www.history.example.net/en/15#top", 0),
-    ("https://sports.example.org/es/16", 0),
-    ("http://m.books.example.net/fr/170.html", 0),
-    ("https://software.example.org/download/manual", 0),
-    ("https://thertion.example.net/en/19/", 0),
-    ("https://bank.example.org/account/20", 0),
-    ("https://www.ththon.example.net/en/2121", 0),
-    ("https://ththnt.example.org/fr/1931?utm_source=feed", 0),
-    ("https://blog.tionsh.example.org/de/3918", 0),
-    ("http://m.ererwh.example.org/es/8345.html", 0),
-    ("https://www.anding.example.org/en/640/", 0),
-    ("https://trains.example.org/en/23", 0),
-    ("https://www.barns.example.net/fr/24.html", 0),
-    ("http://blog.readings.example.org/es/25/", 0),
-    ("https://theads.example.net/en/26", 0),
-    ("https://www.thesp.example.org/de/27?ref=x", 0),
-    ("https://m.intrack.example.net/fr/28", 0),
-    ("https://thether.example.org/en/29", 0),
-    ("https://tionand.example.net/es/30.html", 0),
-]
+# What the labelled table is made of. Stems of hosts to block, by kind; stems of
+# hosts to allow, by topic; suffixes and paths, which both classes share.
+BLOCKED_STEMS = (
+    "porn porno xxx sex sexcam nude erotic hentai escort milf fetish adult hookup camgirl "
+    "casino poker betting roulette jackpot slots gamble bingo lottery sportbet blackjack "
+    "viagra cialis pharma pills steroid painkiller weightloss testosterone "
+    "warez crack keygen torrent serialkey nulled pirated "
+    "malware phishing trojan ransom keylogger botnet hackedaccount loginverify accountverify "
+    "spam linkfarm backlink bulkmail freemoney getrich payday cryptodouble "
+    "adserver adclick popunder tracker trackpixel clickbait doubleads banneradvert affiliateads"
+).split()
+ALLOWED_STEMS = (
+    "news zeitung journal gazette tribune presse noticias weather wetter climate forecast "
+    "university college school academy campus library bibliothek museum archive gallery theatre opera "
+    "science physics chemistry biology astronomy geology maths research institute laboratory "
+    "hospital clinic health nurse dentist medicine pharmacy wellness nutrition yoga "
+    "recipe cooking kitchen bakery restaurant cafe coffee wine cheese chocolate brewery "
+    "garden flower forest farm animal bird horse dog fishing beekeeping "
+    "travel hotel hostel reisen viajes voyage airline railway ferry camping hiking mountain beach "
+    "football tennis cycling running swimming chess sailing hockey basketball athletics "
+    "music piano guitar jazz choir orchestra radio podcast cinema film photo painting poetry books novel "
+    "software docs manual wiki forum blog code compiler database server network linux python hardware robot "
+    "bank insurance invoice tax accounting mortgage pension economy market trade business consulting "
+    "city council government ministry parliament court police embassy passport statistics "
+    "furniture carpenter plumber electric roofing bicycle car motor tyre garage shop store fashion shoes jewel toys "
+    "church history heritage genealogy language dictionary translate essex sussex middlesex analysis title glass class"
+).split()
+SUFFIXES = "org net info edu io dev eu de fr es it nl pl se fi no dk at ch pt gr cz ro ie co.uk org.uk com.br com.au co.nz co.jp ca in mx ar za".split()
+FRONTS = ["", "www.", "m.", "blog.", "shop.", "en."]
+BESIDES = ["", "-online", "-world", "24", "best-", "my", "-club", "-x", "the-", "-hub", "-plus", "top-"]
+PATHS = ["/", "/en/{n}", "/de/{n}.html", "/fr/{n}?page=2", "/es/{n}/", "/index.php?id={n}", "/article/{n}", "/2021/05/{n}", "/view/{n}#top", "/account/{n}", "/download/{n}.zip", "/play/{n}", "/watch/{n}", "/en/about", "/category/{n}/page/3"]
+#: Consonants and vowels of invented names, which stand for hosts that no list knows.
+SOUNDS = ["b c d f g h k l m n p r s t v w z th st br tr gr pl ch sh".split(), "a e i o u ai ea ou io er an in on en".split()]
+
+
+def labelled_urls(blocked: int = 16, allowed: int = 6, invented: int = 900, seed: int = 19) -> list[tuple[str, int, str]]:
+    """A small labelled table by rule: url, label (1 blocks) and stem, so many URLs for each stem and so many invented names."""
+    rnd = random.Random(seed)
+
+    def url(stem: str) -> str:
+        beside = rnd.choice(BESIDES)
+        name = beside + stem if beside and not beside.startswith("-") and not beside.isdigit() else stem + beside
+        return f"{rnd.choice(['https', 'http'])}://{rnd.choice(FRONTS)}{name}.{rnd.choice(SUFFIXES)}{rnd.choice(PATHS).format(n=rnd.randint(1, 9999))}"
+
+    def name() -> str:
+        return "".join(rnd.choice(SOUNDS[i % 2]) for i in range(rnd.randint(2, 7)))
+
+    rows = [(url(s), 1, s) for s in BLOCKED_STEMS for _ in range(blocked)] + [(url(s), 0, s) for s in ALLOWED_STEMS for _ in range(allowed)]
+    rows += [(url(s), 0, s) for s in (name() for _ in range(invented))]
+    return rows
 
 
 def parts_of(url: str | None) -> tuple[str, str]:
@@ -116,57 +105,128 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]] = RULE
     return found
 
 
-def grams(tag: str, text: str, sizes: tuple[int, ...], dims: int) -> list[int]:
-    """Hashed character n-grams of a text with marked ends, a set in no order."""
-    text = f"<{text}>"
-    return [zlib.crc32(f"{tag}{text[i : i + n]}".encode("utf-8", "replace")) % dims for n in sizes for i in range(len(text) - n + 1)]
+def grams(texts: list[bytes], salt: int, sizes: tuple[int, ...], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of the hashed n-grams of texts with marked ends, from flat arrays, repeats included."""
+    flat = np.frombuffer(b"".join(b"<" + t + b">" for t in texts), np.uint8).astype(np.uint64)
+    size = np.array([len(t) + 2 for t in texts], np.int64)
+    row = np.repeat(np.arange(len(texts)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # characters from here to the text's end
+    rows, found = [], []
+    h = np.full(len(flat), salt, np.uint64)
+    for n in range(1, max(sizes) + 1):
+        ok = len(flat) - n + 1
+        if ok <= 0:
+            break
+        h = (h[:ok] ^ flat[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if n in sizes:
+            at = np.flatnonzero(left[:ok] >= n)
+            rows.append(row[at])
+            found.append((h[at] % np.uint64(dims)).astype(np.int64))
+    return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 class UrlModel:
-    """Logistic regression on hashed n-grams of host and path: mean gradient steps with L2, in numpy."""
+    """Logistic regression on hashed character n-grams of host and path: Adam steps with L2, in numpy."""
 
-    def __init__(self, sizes: tuple[int, ...] = (3, 4, 5), dims: int = 1 << 15):
+    def __init__(self, sizes: tuple[int, ...] = (3, 4, 5), dims: int = 1 << 16):
         self.sizes, self.dims = sizes, dims
         self.weight, self.bias = np.zeros(dims), 0.0
 
-    def features(self, host: str, path: str) -> np.ndarray:
-        return np.unique(np.array(grams("h", host, self.sizes, self.dims) + grams("p", path, self.sizes, self.dims) or [0], np.int64))
-
-    def fit(self, rows: list[tuple[str, int]], steps: int = 400, rate: float = 0.5, l2: float = 1e-3) -> UrlModel:
-        x = [self.features(*parts_of(u)) for u, _ in rows]
-        y = np.array([label for _, label in rows], float)
-        who = np.repeat(np.arange(len(x)), [len(f) for f in x])
-        flat = np.concatenate(x) if x else np.zeros(0, np.int64)
-        scale = 1 / np.sqrt(np.bincount(who, minlength=len(x)))
-        for _ in range(steps if len(rows) else 0):
-            z = np.bincount(who, self.weight[flat], len(x)) * scale + self.bias
-            d = (1 / (1 + np.exp(-z)) - y) / len(x)
-            self.weight -= rate * 10 * (np.bincount(flat, (d * scale)[who], self.dims) + l2 / 10 * self.weight)
-            self.bias -= rate * d.sum()
+    def features(self, hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, feature), each feature once a row, in order of row."""
+        utf8 = lambda texts: [t.encode("utf-8", "replace") for t in texts]
+        a, b = grams(utf8(hosts), 1, self.sizes, self.dims), grams(utf8(paths), 2, self.sizes, self.dims)
+        key = np.unique(np.r_[a[0], b[0]] * self.dims + np.r_[a[1], b[1]])
+        return key // self.dims, key % self.dims
+
+    def fit(self, rows: list[tuple[str, int]], steps: int = 200, rate: float = 0.05, l2: float = 1e-5) -> UrlModel:
+        """Both classes weigh the same, whatever their numbers of rows."""
+        if not rows:
+            return self
+        who, flat = self.features(*zip(*(parts_of(r[0]) for r in rows), strict=True))
+        y = np.array([r[1] for r in rows], float)
+        share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+        scale = 1 / np.sqrt(np.maximum(np.bincount(who, minlength=len(y)), 1))
+        first, second = np.zeros(self.dims + 1), np.zeros(self.dims + 1)
+        for t in range(1, steps + 1):
+            z = np.bincount(who, self.weight[flat], len(y)) * scale + self.bias
+            d = (1 / (1 + np.exp(-z)) - y) * share
+            grad = np.append(np.bincount(flat, (d * scale)[who], self.dims) + l2 * self.weight, d.sum())
+            first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+            step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+            self.weight -= step[:-1]
+            self.bias -= step[-1]
+        return self
+
+    def calibrate(self, rows: list[tuple[str, int, str]], folds: int = 5, allowed: float = 0.99) -> UrlModel:
+        """Shift the bias so that this share of allowed URLs with stems left out of training score below 0.5."""
+        margins = []
+        for k in range(folds):
+            away = [zlib.crc32(r[2].encode()) % folds == k for r in rows]
+            part = UrlModel(self.sizes, self.dims).fit([r for r, out in zip(rows, away, strict=True) if not out])
+            held = [r for r, out in zip(rows, away, strict=True) if out and not r[1]]
+            if held:
+                margins.append(part.margin(*zip(*(parts_of(r[0]) for r in held), strict=True)))
+        if margins:
+            self.bias -= max(0.0, float(np.quantile(np.concatenate(margins), allowed))) + 1e-6
         return self
 
+    def margin(self, hosts: list[str], paths: list[str]) -> np.ndarray:
+        who, flat = self.features(hosts, paths)
+        return np.bincount(who, self.weight[flat], len(hosts)) / np.sqrt(np.maximum(np.bincount(who, minlength=len(hosts)), 1)) + self.bias
+
     def score(self, host: str, path: str) -> float:
-        f = self.features(host, path)
-        return float(1 / (1 + np.exp(-(self.weight[f].sum() / np.sqrt(len(f)) + self.bias))))
+        return float(1 / (1 + np.exp(-self.margin([host], [path])[0])))
+
 
+@functools.cache
+def default_model() -> UrlModel:
+    rows = labelled_urls()
+    return UrlModel().fit(rows).calibrate(rows)
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: list[tuple[str, int]] = LABELLED, page_id: str = "page_id", url: str = "url") -> DataFrame:
+
+def runs_of(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of rows that hold at most this many characters, or one row."""
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if i > begin and held + n > most:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, model: UrlModel | None = None, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, score.
 
     The longest rule that fits decides; without one the model does, blocking at
-    a score of 0.5 or more. labelled is a small table, trained on the driver. A
-    null url or one without ``://`` has empty host and path, which the model
-    scores like any other. Rows repeat as in pages; other columns are not read.
+    a score of 0.5 or more; where a rule decides the score is null, for such
+    rows never reach the model. By default the model is fitted on the driver to
+    the small table of labelled_urls. A null url or one without ``://`` has
+    empty host and path, which the model scores like any other; very long urls
+    are scored whole, in slices of bounded size. Rows repeat as in pages, an
+    empty table gives an empty result, and other columns are not read.
     """
-    model = UrlModel().fit(labelled)
-    host, path = host_path(F.coalesce(F.col(url), F.lit("")))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    model = model or default_model()
+    address = F.coalesce(pages[url], F.lit(""))
+    host, path = host_path(address)
+    rows = pages.select(pages[page_id].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for h, p in batches:
-            yield pd.Series([model.score(a, b) for a, b in zip(h, p, strict=True)], dtype="float64")
-
-    judged = rows.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("score", score("host", "path"))
+            out = np.full(len(h), np.nan)
+            at = np.flatnonzero(h.notna().to_numpy())
+            hosts, paths = h.iloc[at].tolist(), p.iloc[at].tolist()
+            for s in runs_of([len(a) + len(b) for a, b in zip(hosts, paths, strict=True)]):
+                out[at[s]] = 1 / (1 + np.exp(-model.margin(hosts[s], paths[s])))
+            yield pd.Series(out).where(h.notna().reset_index(drop=True))
+
+    judged = rows.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules))
+    open_host = F.when(F.col("hit").isNull(), F.col("host"))
+    judged = judged.withColumn("score", score(open_host, F.when(F.col("hit").isNull(), F.col("path"))))
+    judged = judged.withColumn("score", F.when(F.col("hit").isNull(), F.col("score")))
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "score")

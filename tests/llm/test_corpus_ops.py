@@ -364,16 +364,46 @@ def test_url_filter(spark):
     rows = [(i, u, "<p>") for i, u in enumerate(urls)] + [(None, "http://a.org/", None)]
     got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows)
-    model = urlfilter.UrlModel().fit(urlfilter.LABELLED)
+    model = urlfilter.default_model()
     for r in got:
         url = urls[r["page_id"]] if r["page_id"] is not None else "http://a.org/"
         host, path = urlfilter.parts_of(url)
         assert (r["host"], r["path"]) == (host, path)
         rule, verdict = brute_rule(host, path)
         assert r["rule"] == rule and r["verdict"] == (verdict or ("block" if model.score(host, path) >= 0.5 else "allow"))
+        assert r["score"] is None if rule else abs(r["score"] - model.score(host, path)) < 1e-9
     assert got[14]["verdict"] == "block" and got[15]["verdict"] == "allow"
 
 
+def test_url_model_on_urls_it_has_not_seen():
+    rows, other = urlfilter.labelled_urls(), urlfilter.labelled_urls(seed=77)
+    seen = {u for u, _, _ in rows}
+    other = [r for r in other if r[0] not in seen]
+    bad = urlfilter.default_model().margin(*zip(*(urlfilter.parts_of(u) for u, _, _ in other), strict=True)) >= 0
+    y = np.array([label == 1 for _, label, _ in other])
+    assert bad[y].mean() > 0.95 and bad[~y].mean() < 0.01
+    # Invented names of another make: whatever no list knows is allowed.
+    rnd = random.Random(6)
+    names = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(4, 14))) for _ in range(500)]
+    unknown = urlfilter.default_model().margin([f"{n}.example" for n in names], ["/"] * 500)
+    assert (unknown >= 0).mean() < 0.01
+    stems = [s for s in urlfilter.BLOCKED_STEMS if s in urlfilter.ALLOWED_STEMS]
+    assert not stems
+
+
+def test_url_filter_empty_repeats_and_clashing_names(spark):
+    rows = [(1, "https://x.org/", "h", "p", 5.0, "v")] * 3 + [(None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, path string, score double, verdict string")
+    got = urlfilter.judge(df).collect()
+    assert len(got) == 4 and len({tuple(r) for r in got if r["page_id"] == 1}) == 1
+    assert [(r["host"], r["path"]) for r in got if r["page_id"] is None] == [("", "")]
+    assert urlfilter.judge(df.limit(0)).count() == 0
+    a = urlfilter.default_model()
+    hosts, paths = ["a.org", "", "poker.example"], ["/x", "", "/" + "y" * 200_000]
+    assert np.allclose(a.margin(hosts, paths), [a.margin([h], [p])[0] for h, p in zip(hosts, paths, strict=True)])
+    assert [x for x in urlfilter.runs_of([5, 5, 30, 1], most=10)] == [slice(0, 2), slice(2, 3), slice(3, 4)]
+
+
 def test_chunks_resist_shifts():
     rnd = random.Random(9)
     body = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 9))) for _ in range(2000)).encode()
