@@ -362,17 +362,26 @@ def log_root_product(c: float, n: int, shards: int = 1, shard: int = 0) -> float
     return float(np.log(1 - 2 * z * np.cos(turn) + z * z))
 
 
-def ma1_profile(theta: float, x: np.ndarray) -> tuple[float, float]:
-    """Exact Gaussian MA(1) likelihood by innovations with sigma2 profiled out: mean negative log-likelihood, sigma2."""
-    previous, variance, ss, logdet = 0.0, 1 + theta * theta, 0.0, 0.0
-    for v in x:
-        e = v - theta * previous
-        ss += e * e / variance
-        logdet += np.log(variance)
-        previous = e / variance
-        variance = 1 + theta * theta - theta * theta / variance
-    sigma2 = ss / len(x)
-    return 0.5 * (np.log(sigma2) + logdet / len(x)), sigma2
+def sine_power(x: np.ndarray) -> np.ndarray:
+    """Squares of the orthonormal sine transform of x: the part of x along each eigenvector of a tridiagonal Toeplitz matrix."""
+    n = len(x)
+    odd = np.concatenate([[0.0], x, [0.0], -x[::-1]])
+    return np.fft.rfft(odd).imag[1 : n + 1] ** 2 / (2 * (n + 1))
+
+
+def ma1_profile(theta: np.ndarray | float, x: np.ndarray, power: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Exact Gaussian MA(1) likelihood with sigma2 profiled out, at one theta or many: mean negative log-likelihood, sigma2.
+
+    The covariance of n values is tridiagonal and Toeplitz: sine waves are its
+    eigenvectors whatever theta is, and its eigenvalues have a closed form. One
+    transform of x, or its power if known, serves every theta.
+    """
+    n = len(x)
+    power = sine_power(np.asarray(x, float)) if power is None else power
+    theta = np.asarray(theta, float)[..., None]
+    eigen = (1 + theta) ** 2 - 4 * theta * np.sin(np.pi * np.arange(1, n + 1) / (2 * n + 2)) ** 2
+    sigma2 = (power / eigen).sum(axis=-1) / n
+    return (np.log(sigma2) + np.log(eigen).mean(axis=-1)) / 2, sigma2
 
 
 def exact_arma(x: np.ndarray, phi: list[float], theta: list[float], sigma2: float) -> float:
@@ -404,7 +413,7 @@ def conditional_ar2(y: np.ndarray, x: np.ndarray, beta: float, phi: tuple[float,
 
 
 def quadrature_moments(f: Callable, centre: np.ndarray, covariance: np.ndarray, orders: tuple[int, ...] = (5, 7, 9), tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of exp(f) by Gauss-Hermite rules of rising order, until two agree."""
+    """Mean and covariance of exp(f) by Gauss-Hermite rules of rising order, until two agree; refused if none do."""
     d, root, last = len(centre), np.linalg.cholesky(covariance), None
     for order in orders:
         z, w = np.polynomial.hermite.hermgauss(order)
@@ -420,16 +429,27 @@ def quadrature_moments(f: Callable, centre: np.ndarray, covariance: np.ndarray,
         if last is not None and np.abs(cov - last[1]).max() <= tolerance * np.abs(cov).max() and np.abs(mean - last[0]).max() <= tolerance * np.sqrt(np.diag(cov)).max():
             return mean, cov
         last = (mean, cov)
-    return last
+    raise ValueError(f"Gauss-Hermite rules up to order {orders[-1]} don't agree within {tolerance}")
 
 
 def shrink_covariance(draws: np.ndarray, prior: np.ndarray, batches: int = 20, most: float = 6.0) -> np.ndarray:
-    """The draws' covariance shrunk towards `prior` by its batch-means variance; refused beyond `most` standard errors."""
-    cov = np.cov(draws.T)
-    parts = np.stack([np.cov(b.T) for b in np.array_split(draws, batches)])
-    var = parts.var(axis=0, ddof=1) / batches
-    gap = (cov - prior) ** 2
-    if (np.sqrt(gap) > most * np.sqrt(var) + 1e-12).any():
+    """The draws' covariance shrunk towards `prior` by its batch-means variance; refused beyond `most` standard errors.
+
+    All is measured in units of the prior, where it is the identity, so that no
+    parameter's scale decides. Each batch needs more draws than parameters.
+    """
+    n, d = draws.shape
+    if n < batches * (d + 2):
+        raise ValueError(f"{n} draws of {d} parameters are too few for {batches} batches")
+    root = np.linalg.cholesky(prior)
+    white = np.linalg.solve(root, (draws - draws.mean(axis=0)).T)
+    size = n // batches
+    parts = white[:, : size * batches].reshape(d, batches, size)
+    each = np.einsum("ibt,jbt->bij", parts, parts) / size
+    cov = white @ white.T / (n - 1)
+    error2 = each.var(axis=0, ddof=1) / batches
+    gap2 = (cov - np.eye(d)) ** 2
+    if (gap2 > most**2 * error2 + 1e-24).any():
         raise ValueError(f"draws and quadrature disagree by more than {most} standard errors")
-    share = float(np.clip(var.sum() / max(gap.sum() + var.sum(), 1e-300), 0, 1))
-    return positive_definite((1 - share) * cov + share * prior, 1e-300)
+    share = float(np.clip(error2.sum() / max(gap2.sum() + error2.sum(), 1e-300), 0, 1))
+    return positive_definite(root @ ((1 - share) * cov + share * np.eye(d)) @ root.T, 1e-300)

@@ -6,15 +6,23 @@ import numpy as np
 
 
 def spectrum_covariance(density, n: int, tolerance: float = 1e-7, first: int = 65_536, most: int = 4_194_304) -> np.ndarray:
-    """Autocovariances 0..n-1 of a density on [0, pi] (without 1/2pi), on grids doubled until they agree."""
-    last, size = None, first
-    while True:
-        new = np.fft.irfft(density(2 * np.pi * np.arange(size // 2 + 1) / size), n=size)[:n]
-        if last is not None and np.abs(new - last).max() <= tolerance * max(abs(new[0]), 1e-12):
-            return new
-        if size >= most:
-            raise ValueError("the covariance doesn't settle on the largest grid")
-        last, size = new, 2 * size
+    """Autocovariances 0..n-1 of a density on [0, pi] (without 1/2pi), on grids refined until nothing changes.
+
+    A refinement evaluates the density half way between the points it has: the
+    mean of both grids' sums is the finer grid's, half their difference the change.
+    """
+    size = max(first, 1 << (2 * n - 1).bit_length())
+    lags = np.arange(n)
+    found = np.fft.irfft(density(2 * np.pi * np.arange(size // 2 + 1) / size), n=size)[:n]
+    while size < most:
+        # Points half a step on, mirrored at pi, where a density is symmetric.
+        half = density(2 * np.pi * (np.arange(size // 2) + 0.5) / size)
+        between = (np.fft.ifft(np.concatenate([half, half[::-1]]))[:n] * np.exp(1j * np.pi * lags / size)).real
+        change = np.abs(between - found).max() / 2
+        found, size = (found + between) / 2, 2 * size
+        if change <= tolerance * max(abs(found[0]), 1e-12):
+            return found
+    raise ValueError("the covariance doesn't settle on the largest grid")
 
 
 def gaussian_predictor(gamma: np.ndarray, context: int, horizon: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,55 +44,62 @@ def tempered_density(sigma2: float, lam: float, d: float, phi: float = 0.0, thet
     return density
 
 
-def _impulses(psi: np.ndarray, sigma2: float) -> np.ndarray:
-    n = len(psi)
-    lag = np.arange(n)[:, None] - np.arange(n)
-    m = np.where(lag >= 0, psi[np.maximum(lag, 0)], 0.0)
-    return sigma2 * m @ m.T
+def arma_predictor(phi: float, theta: float, sigma2: float, context: int, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and covariance for an ARMA(1,1), from its state (next value, theta times the last shock).
+
+    The filter runs on unit vectors in place of data, so its state is a matrix
+    of weights on the context. Future values are then written in terms of the
+    state's error and the shocks to come.
+    """
+    move, load = np.array([[phi, 1.0], [0.0, 0.0]]), np.array([1.0, theta])
+    shock = sigma2 * np.outer(load, load)
+    stationary = sigma2 * (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)
+    error = np.array([[stationary, sigma2 * theta], [sigma2 * theta, sigma2 * theta * theta]])
+    state = np.zeros((2, context))
+    for seen in np.eye(context):
+        gain = error[:, 0] / error[0, 0]
+        state = move @ (state + np.outer(gain, seen - state[0]))
+        error = move @ (error - np.outer(gain, error[0])) @ move.T + shock
+    weights, response = np.zeros((horizon, context)), np.zeros((horizon, 2 + horizon))
+    carry = np.zeros((2, 2 + horizon))
+    carry[:, :2] = np.eye(2)
+    for h in range(horizon):
+        weights[h], response[h] = state[0], carry[0]
+        state, carry = move @ state, move @ carry
+        carry[:, 2 + h] += load
+    source = np.zeros((2 + horizon, 2 + horizon))
+    source[:2, :2] = error
+    source[2:, 2:] = sigma2 * np.eye(horizon)
+    cov = response @ source @ response.T
+    return weights, (cov + cov.T) / 2
+
+
+def on_levels(weights: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From increments predicted by increments to levels predicted by levels, one more of them."""
+    sums, cov = cumulated(weights, cov)
+    edge = np.zeros((len(sums), 1))
+    out = np.hstack([edge, sums]) - np.hstack([sums, edge])
+    out[:, -1] += 1
+    return out, cov
+
+
+#: Which models are ARMA of the values, and which of their increments.
+DIFFERENCES = {"ar1": 0, "arma11": 0, "arima110": 1, "arima011": 1, "arima111": 1}
 
 
 def predictor(model: str, p: dict, context: int, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Levels predicted by ar1, arima110 or arima011; artfima10 by its covariance; increments by arma11 or artfima01."""
-    if model == "ar1":
-        weights = np.zeros((horizon, context))
-        weights[:, -1] = p["phi"] ** np.arange(1, horizon + 1)
-        return weights, _impulses(p["phi"] ** np.arange(horizon), p["sigma2"])
-    if model == "arima110":
-        grown = np.cumsum(p["phi"] ** np.arange(1, horizon + 1))
-        weights = np.zeros((horizon, context))
-        weights[:, -1], weights[:, -2] = 1 + grown, -grown
-        return weights, _impulses(np.cumsum(p["phi"] ** np.arange(horizon)), p["sigma2"])
-    if model == "arima011":
-        theta = p["theta"]
-        # Exact conditioning of the next increment on the context's increments, as weights on levels.
-        m = context - 1
-        gamma = np.zeros(m + horizon)
-        gamma[0] = 1 + theta * theta
-        if len(gamma) > 1:
-            gamma[1] = theta
-        w, cov = gaussian_predictor(p["sigma2"] * gamma, m, horizon)
-        sums = np.cumsum(w, axis=0)
-        weights = np.zeros((horizon, context))
-        weights[:, 1:] += sums
-        weights[:, :-1] -= sums
-        weights[:, -1] += 1
-        add = np.tril(np.ones((horizon, horizon)))
-        return weights, add @ cov @ add.T
-    if model == "artfima10":
-        gamma = spectrum_covariance(tempered_density(p["sigma2"], p["lambda"], p["d"], phi=p["phi"]), context + horizon)
-        return gaussian_predictor(gamma, context, horizon)
-    if model == "arma11":
-        phi, theta, s2 = p["phi"], p["theta"], p["sigma2"]
-        n = context + horizon
-        gamma = np.empty(n)
-        gamma[0] = s2 * (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)
-        if n > 1:
-            gamma[1] = s2 * (phi + theta) * (1 + phi * theta) / (1 - phi * phi)
-            gamma[2:] = gamma[1] * phi ** np.arange(1, n - 1)
-        return gaussian_predictor(gamma, context, horizon)
-    if model == "artfima01":
-        gamma = spectrum_covariance(tempered_density(p["sigma2"], p["lambda"], p["d"], theta=p["theta"]), context + horizon)
-        return gaussian_predictor(gamma, context, horizon)
+    """Weights on a context, oldest first, and covariance of the future.
+
+    ar1 and the arima models predict levels by levels, arma11 and artfima01
+    increments by increments, artfima10 values by its covariance.
+    """
+    if model in DIFFERENCES:
+        d = DIFFERENCES[model]
+        found = arma_predictor(p.get("phi", 0.0), p.get("theta", 0.0), p["sigma2"], context - d, horizon)
+        return on_levels(*found) if d else found
+    if model in ("artfima10", "artfima01"):
+        density = tempered_density(p["sigma2"], p["lambda"], p["d"], phi=p.get("phi", 0.0), theta=p.get("theta", 0.0))
+        return gaussian_predictor(spectrum_covariance(density, context + horizon), context, horizon)
     raise ValueError(f"no model {model}")
 
 

@@ -74,23 +74,16 @@ def train_arima011(series: DataFrame, n: int, blocks: int | None = None, t: str
     return {"theta": float(best["map"][0]), "sigma2": float(np.exp(best["map"][1])), "newton_distance": float(best["newton_distance"])}
 
 
-def exact_ma1(x: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """theta and sigma2 of the exact likelihood by golden sections; sequential, for series that fit a task."""
-    lo, hi, g = -0.999999, 0.999999, (5**0.5 - 1) / 2
-    f = lambda v: kernels.ma1_profile(v, x)[0]
-    a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-    fa, fb = f(a), f(b)
+def exact_ma1(x: np.ndarray, rounds: int = 7, points: int = 33) -> tuple[float, float]:
+    """theta and sigma2 of the exact likelihood, on grids that close in on the best point; for series that fit a task."""
+    power = kernels.sine_power(np.asarray(x, float))
+    lo, hi = -0.999999, 0.999999
     for _ in range(rounds):
-        if fa < fb:
-            hi, b, fb = b, a, fa
-            a = hi - g * (hi - lo)
-            fa = f(a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + g * (hi - lo)
-            fb = f(b)
-    theta = (lo + hi) / 2
-    return theta, kernels.ma1_profile(theta, x)[1]
+        grid = np.linspace(lo, hi, points)
+        best = int(np.argmin(kernels.ma1_profile(grid, x, power)[0]))
+        lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, points - 1)]
+    theta = float((lo + hi) / 2)
+    return theta, float(kernels.ma1_profile(theta, x, power)[1])
 
 
 LEVEL_FORECAST = "day_index int, phase string, elapsed int, horizon int, model string, reason string, actual double, prediction double, draws array<double>"

@@ -180,3 +180,55 @@ def test_stein():
     w = np.array([2.0, 1.0, 1.0])
     q = np.array([[0.0], [1.0], [-1.0]])
     assert stein.discrepancy(q, -q, w) == pytest.approx(stein.discrepancy(np.r_[q[:1], q[:1], q[1:]], -np.r_[q[:1], q[:1], q[1:]]), rel=1e-4)
+
+
+def test_effective_sizes_match_known_chains():
+    """AR(1) chains of coefficient a have an effective share of (1 - a) / (1 + a)."""
+    rng = np.random.default_rng(4)
+    share = []
+    for a in (0.0, 0.5, 0.8):
+        e = rng.normal(size=(4, 20_000))
+        x = np.zeros_like(e)
+        for t in range(1, e.shape[1]):
+            x[:, t] = a * x[:, t - 1] + e[:, t]
+        share.append(x[:, 500:])
+    x = np.stack(share, axis=-1)
+    got = diagnostics.effective_sizes(x) / (x.shape[0] * x.shape[1])
+    np.testing.assert_allclose(got, [1.0, 1 / 3, 1 / 9], rtol=0.12)
+    np.testing.assert_allclose(diagnostics.effective_sizes(x, block=3), diagnostics.effective_sizes(x), rtol=1e-12)
+
+
+def test_moment_quality_ignores_units_and_correlations():
+    x = np.random.default_rng(5).normal(size=(4, 600, 3))
+    mixed = x @ np.array([[1e-3, 2.0, 0.0], [0.0, 30.0, 1.0], [0.0, 0.0, 1e4]])
+    a, b = diagnostics.moment_quality(mixed), diagnostics.moment_quality(mixed * [5.0, 1e3, 1e-5] + 7.0)
+    for u, v in zip(a, b, strict=True):
+        np.testing.assert_allclose(u, v, rtol=1e-3)  # the two middle values tie up to rounding
+    stuck = mixed.copy()
+    stuck[..., 2] = stuck[..., 0] * 3
+    assert np.isinf(diagnostics.moment_quality(stuck)[0]).all()
+
+
+def test_predictors_match_dense_algebra_of_levels():
+    """Integrated models against conditioning a long random walk's dense covariance; near unit roots too."""
+    m, h = 7, 4
+    for model, p in (("arima110", {"phi": 0.7, "sigma2": 2.0}), ("arima011", {"theta": -0.4, "sigma2": 0.5}), ("arima111", {"phi": 0.3, "theta": 0.5, "sigma2": 1.0})):
+        phi, theta, s2 = p.get("phi", 0.0), p.get("theta", 0.0), p["sigma2"]
+        n = m - 1 + h
+        gamma = predict.spectrum_covariance(predict.tempered_density(s2, 1.0, 0.0, phi=phi, theta=theta), n, first=8192, tolerance=1e-13)
+        w, cov = predict.gaussian_predictor(gamma, m - 1, h)
+        y = np.random.default_rng(1).normal(size=m).cumsum()
+        got = predict.predictor(model, p, m, h)
+        add = np.tril(np.ones((h, h)))
+        np.testing.assert_allclose(got[0] @ y, y[-1] + add @ w @ np.diff(y), atol=1e-8)
+        np.testing.assert_allclose(got[1], add @ cov @ add.T, atol=1e-8)
+    w, cov = predict.predictor("ar1", {"phi": 0.9999999, "sigma2": 1.0}, 50, 3)
+    np.testing.assert_allclose(w[:, -1], 0.9999999 ** np.arange(1, 4), rtol=1e-9)
+    assert np.abs(w[:, :-1]).max() < 1e-9 and cov[0, 0] == pytest.approx(1.0)
+
+
+def test_moments_that_do_not_settle_are_refused():
+    with pytest.raises(ValueError):
+        kernels.quadrature_moments(lambda x: -abs(float(x[0])) ** 0.3 * 5, np.zeros(1), np.eye(1) * 0.01, orders=(3, 5))
+    with pytest.raises(ValueError):
+        kernels.shrink_covariance(np.random.default_rng(0).normal(size=(40, 3)), np.eye(3))
