@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrabrook.functions.columns import score_columns
@@ -87,46 +86,52 @@ def cluster_sums(wide: DataFrame, candidate: str, benchmark: str, block_days: in
     return wide.groupBy(*keys, cluster.alias("cluster")).agg(F.sum(candidate).alias("candidate"), F.sum(benchmark).alias("benchmark"), F.count(F.lit(1)).alias("n"))
 
 
-def bootstrap_weights(clusters: Sequence[int], replicates: int = 10_000, seed: int = 20261014) -> np.ndarray:
-    """Multiplicities of clusters in each replicate, shared by every comparison."""
-    draws = np.random.default_rng(seed).integers(len(clusters), size=(replicates, len(clusters)))
-    out = np.zeros((replicates, len(clusters)), np.int64)
-    np.add.at(out, (np.arange(replicates)[:, None], draws), 1)
-    return out
+#: A prime; all of scattered()'s steps stay below its square, within a long.
+PRIME = 2147483647
 
 
-def moving_block_weights(days: int, block: int = 5, replicates: int = 10_000, seed: int = 0) -> np.ndarray:
-    """Multiplicities of days under circular moving blocks."""
-    rng = np.random.default_rng(seed)
-    starts = rng.integers(days, size=(replicates, -(-days // block)))
-    index = ((starts[:, :, None] + np.arange(block)) % days).reshape(replicates, -1)[:, :days]
-    out = np.zeros((replicates, days), np.int64)
-    np.add.at(out, (np.arange(replicates)[:, None], index), 1)
-    return out
+def scattered(replicate: Column, slot: Column, seed: int, n: Column | int) -> Column:
+    """A number below n for each replicate and slot: two squarings modulo a prime, so that any engine can make it."""
+    x = F.pmod(replicate * F.lit(48271) + slot * F.lit(69621) + F.lit(seed), F.lit(PRIME))
+    x = F.pmod(x * x + slot, F.lit(PRIME))
+    x = F.pmod(x * F.lit(16807) + replicate, F.lit(PRIME))
+    return F.pmod(F.pmod(x * x, F.lit(PRIME)), n if isinstance(n, Column) else F.lit(n))
 
 
-def _weight_table(spark, weights: np.ndarray, units: Sequence[int], unit: str) -> DataFrame:
-    """unit with the array of its multiplicities over replicates: one row per unit."""
-    rows = [(int(u), weights[:, i].tolist()) for i, u in enumerate(units)]
-    return spark.createDataFrame(rows, f"{unit} int, weights array<long>")
+def bootstrap_weights(units: DataFrame, unit: str, n: int, replicates: int, seed: int) -> DataFrame:
+    """replicate, unit and its multiplicity w: n of the n units drawn in each replicate, with replacement.
+
+    units numbers them from 0 in a column place. Executors make the draws, so
+    that neither the driver nor a broadcast holds replicates times units.
+    """
+    at = units.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("replicate"), F.pmod("id", F.lit(n)).alias("slot"))
+    drawn = at.select("replicate", scattered(F.col("replicate"), F.col("slot"), seed, n).alias("place"))
+    return drawn.groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("w")).join(units.select("place", unit), "place").select("replicate", unit, "w")
+
+
+def moving_block_weights(spark, days: int, block: int, replicates: int, seed: int) -> DataFrame:
+    """replicate, day and its multiplicity w under circular moving blocks, the last one cut so that each replicate has `days` days."""
+    blocks = -(-days // block)
+    at = spark.range(replicates * blocks).select(F.floor(F.col("id") / blocks).alias("replicate"), F.pmod("id", F.lit(blocks)).alias("slot"))
+    start = at.withColumn("start", scattered(F.col("replicate"), F.col("slot"), seed, days))
+    each = start.select("replicate", "slot", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("step")).filter(F.col("slot") * block + F.col("step") < days)
+    return each.groupBy("replicate", F.pmod(F.col("start") + F.col("step"), F.lit(days)).alias("day")).agg(F.count(F.lit(1)).alias("w"))
 
 
 def paired_gains(sums: DataFrame, replicates: int = 10_000, seed: int = 20261014, keys: Sequence[str] = ("horizon", "origin"), least_valid: float = 0.99) -> DataFrame:
     """RMSE reduction in percent with percentile intervals, by key and pooled over origins.
 
-    sums is cluster_sums()'s. Each cluster's array of multiplicities is scaled
-    and added up elementwise by replicate, so work grows with clusters times
-    replicates and no replicate is a row of the input.
+    sums is cluster_sums()'s. Clusters drawn in a replicate are counted first and
+    meet the sums by cluster, so work grows with clusters times replicates and
+    no row of the input is resampled.
     """
-    spark = sums.sparkSession
-    sums = sums.cache()  # a row for each key and cluster, read by several jobs
-    clusters = [r["cluster"] for r in sums.select("cluster").distinct().orderBy("cluster").collect()]
-    if len(clusters) < 2:
+    places = sums.select("cluster").distinct().withColumn("place", (F.row_number().over(Window.orderBy("cluster")) - 1).cast("long"))
+    clusters = places.count()
+    if clusters < 2:
         raise ValueError("at least two clusters are needed")
-    table = _weight_table(spark, bootstrap_weights(clusters, replicates, seed), clusters, "cluster")
     pooled = sums.groupBy(*[k for k in keys if k != "origin"], "cluster").agg(F.sum("candidate").alias("candidate"), F.sum("benchmark").alias("benchmark"), F.sum("n").alias("n")).withColumn("origin", F.lit("Pooled"))
     both = sums.unionByName(pooled)
-    parts = both.join(F.broadcast(table), "cluster").select(*keys, F.posexplode("weights").alias("replicate", "w"), "candidate", "benchmark")
+    parts = both.join(bootstrap_weights(places, "cluster", clusters, replicates, seed), "cluster")
     reps = parts.groupBy(*keys, "replicate").agg(F.sum(F.col("w") * F.col("candidate")).alias("c"), F.sum(F.col("w") * F.col("benchmark")).alias("b"))
     gain = F.when(F.col("b") > 0, 100 * (1 - F.sqrt(F.col("c") / F.col("b"))))
     limits = reps.groupBy(*keys).agg(F.percentile(gain, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(gain).alias("bootstrap_valid"))
@@ -139,8 +144,8 @@ def paired_gains(sums: DataFrame, replicates: int = 10_000, seed: int = 20261014
 def block_differences(daily: DataFrame, block: int = 5, replicates: int = 10_000, seed: int = 0) -> DataFrame:
     """Mean daily difference with a circular moving-block interval; daily has day (0..n-1) and difference."""
     n = daily.count()
-    table = _weight_table(daily.sparkSession, moving_block_weights(n, block, replicates, seed), range(n), "day")
-    reps = daily.join(F.broadcast(table), "day").select(F.posexplode("weights").alias("replicate", "w"), "difference").groupBy("replicate").agg((F.sum(F.col("w") * F.col("difference")) / n).alias("m"))
+    drawn = moving_block_weights(daily.sparkSession, n, block, replicates, seed)
+    reps = daily.join(drawn, "day").groupBy("replicate").agg((F.sum(F.col("w") * F.col("difference")) / n).alias("m"))
     q = reps.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return daily.agg(F.avg("difference").alias("mean_difference")).join(F.broadcast(q)).select("mean_difference", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 

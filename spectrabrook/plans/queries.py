@@ -525,9 +525,26 @@ def rmse_reduction(spark, sf_dir):
     return out.select("horizon", "origin", "n", r6("rmse_reduction_pct").alias("rmse_reduction_pct"))
 
 
-@query()
+def scattered_sql(replicate: str, slot: str, seed: int, n: str) -> str:
+    """scores.scattered as SQL; all numbers are bigint."""
+    x = f"((({replicate}) * 48271 + ({slot}) * 69621 + {seed}) % 2147483647)"
+    x = f"(({x} * {x} + ({slot})) % 2147483647)"
+    x = f"(({x} * 16807 + ({replicate})) % 2147483647)"
+    return f"((({x} * {x}) % 2147483647) % ({n}))"
+
+
+@query(f"""with {FORECASTS}, {CLUSTERS}, p as (select horizon, origin, candidate, benchmark, n, cluster from cl union all select horizon, 'Pooled', sum(candidate), sum(benchmark), sum(n), cluster from cl group by horizon, cluster),
+pl as (select cluster, row_number() over (order by cluster) - 1 as place from (select distinct cluster from cl)), k as (select count(*) as k from pl),
+dr as (select r as replicate, {scattered_sql("r", "i", 20261014, "k")} as place from (select unnest(range(2000)) as r), k, lateral (select unnest(range(k)) as i)),
+mu as (select replicate, cluster, count(*) as m from dr join pl using (place) group by 1, 2),
+g as (select horizon, origin, replicate, 100 * (1 - sqrt(sum(m * candidate) / sum(m * benchmark))) as gain from p join mu using (cluster) group by 1, 2, 3),
+q as (select horizon, origin, quantile_cont(gain, 0.025) as lo, quantile_cont(gain, 0.975) as hi, count(gain) as valid from g group by 1, 2)
+select p.horizon, p.origin, cast(sum(n) as bigint) as n, count(distinct cluster) as clusters, round(sqrt(sum(candidate) / sum(n)), 6) as rmse_candidate, round(sqrt(sum(benchmark) / sum(n)), 6) as rmse_benchmark,
+round(100 * (1 - sqrt(sum(candidate) / sum(benchmark))), 6) as rmse_reduction_pct, round(any_value(lo), 6) as lower_pct, round(any_value(hi), 6) as upper_pct, any_value(valid) as bootstrap_valid, any_value(lo) > 0 or any_value(hi) < 0 as excludes_zero
+from p join q on p.horizon = q.horizon and p.origin = q.origin group by 1, 2""")
 def paired_bootstrap(spark, sf_dir):
-    return scores.paired_gains(clusters(spark, sf_dir), 2000)
+    out = scores.paired_gains(clusters(spark, sf_dir), 2000)
+    return out.withColumns({c: r6(c) for c in ("rmse_candidate", "rmse_benchmark", "rmse_reduction_pct", "lower_pct", "upper_pct")})
 
 
 @query(f"with {FORECASTS} select day_index, origin, horizon, count(distinct model) as models, count(*) as rows, count(distinct actual) as actuals from f group by 1, 2, 3 having count(distinct model) <> 2 or count(*) <> 2 or count(distinct actual) > 1")
@@ -582,10 +599,16 @@ def event_panel_days(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.floor(s / 86_400).cast("int").alias("day_index")).agg(F.avg("value").alias("m"))
 
 
-@query()
+@query(f"""with d as (select cast(floor((epoch(ts) - 1704067200) / 86400) as integer) as day_index, avg(value) - 100.0 as difference from events group by 1),
+n as (select row_number() over (order by day_index) - 1 as day, difference from d), k as (select count(*) as k from n),
+st as (select r as replicate, j, k, {scattered_sql("r", "j", 0, "k")} as start from (select unnest(range(1000)) as r), k, lateral (select unnest(range(cast(ceil(k / 5.0) as bigint))) as j)),
+e as (select replicate, (start + s) % k as day from st, (select unnest(range(5)) as s) where j * 5 + s < k),
+m as (select replicate, avg(difference) as m from e join n using (day) group by 1)
+select round((select avg(difference) from d), 6) as mean_difference, round(quantile_cont(m, 0.025), 6) as lower, round(quantile_cont(m, 0.975), 6) as upper from m""")
 def block_bootstrap(spark, sf_dir):
     d = event_panel_days(spark, sf_dir).select(F.col("day_index").alias("day"), (F.col("m") - 100.0).alias("difference"))
-    return scores.block_differences(timeindex.dense_index(d, "day", "day"), 5, 1000)
+    out = scores.block_differences(timeindex.dense_index(d, "day", "day"), 5, 1000)
+    return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
 # Folds, benchmark models and set operations

@@ -144,8 +144,19 @@ def test_bootstrap_of_a_fixed_ratio_is_exact(spark):
     assert len(got) == 6 and {r["origin"] for r in got} == {"09:31", "09:35", "Pooled"}
     for r in got:
         assert (r["rmse_reduction_pct"], r["lower_pct"], r["upper_pct"]) == pytest.approx((20, 20, 20)) and r["excludes_zero"]
-    w = scores.moving_block_weights(30, 5, 50)
-    assert (w.sum(1) == 30).all()
+    w = scores.moving_block_weights(spark, 33, 5, 50, 0).toPandas()
+    assert (w.groupby("replicate")["w"].sum() == 33).all() and w["day"].between(0, 32).all() and w["replicate"].nunique() == 50
+
+
+def test_scattered_draws_look_uniform_and_independent(spark):
+    """Multiplicities of 12 units over many replicates have a multinomial's mean, variance and covariance."""
+    units = spark.createDataFrame([(i, i) for i in range(12)], "place long, unit long")
+    w = scores.bootstrap_weights(units, "unit", 12, 4000, 20261014).toPandas().pivot(index="replicate", columns="unit", values="w").reindex(index=range(4000), columns=range(12)).fillna(0).to_numpy()
+    assert (w.sum(1) == 12).all()
+    np.testing.assert_allclose(w.mean(0), 1, atol=0.08)
+    np.testing.assert_allclose(w.var(0), 11 / 12, atol=0.1)
+    c = np.corrcoef(w.T)[np.triu_indices(12, 1)]
+    np.testing.assert_allclose(c, -1 / 11, atol=0.08)
 
 
 def test_one_to_one_refuses_differences(spark):
