@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,15 +16,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _temporary() -> str:
+    path = tempfile.mkdtemp(prefix="spectrabrook-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session without
-    that setting (a local test) gets a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. A local session without
+    that setting (a test) gets a temporary folder, which goes when Python ends;
+    on a cluster, whose machines would each have their own, that is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(spark, "_shared_dir", None) or "file://" + tempfile.mkdtemp(prefix="spectrabrook-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = getattr(spark, "_shared_dir", None) or _temporary()
         spark._shared_dir = found
     return found.rstrip("/")
 
@@ -39,9 +50,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts may be long: hand them to Python in small Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch of texts that goes to Python; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in Arrow batches bounded by bytes, whatever their lengths.
+
+    A session setting, the same for all corpus operators, so that none changes
+    another's lazy plan; a smaller bound of the caller's stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
