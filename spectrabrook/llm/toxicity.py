@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrabrook.llm.common import fold, small_batches
@@ -129,14 +129,15 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "te
     return fit_nnpu(p, u, prior if prior is not None else 0.0)
 
 
-def score_texts(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", doc_id: str = "doc_id", cache: int = 400_000) -> DataFrame:
-    """docs' doc_id, score and key (a hash of the text) for every row; whole texts."""
+def score_column(spark: SparkSession, model: tuple[np.ndarray, float], text: Column, cache: int = 400_000) -> Column:
+    """The score of a text as a column: rows stay where they are, and only texts go to Python."""
     used = np.flatnonzero(model[0])
     sparse, bias = (used.astype(np.int32), model[0][used]), model[1]
-    shared = docs.sparkSession.sparkContext.broadcast(sparse)
-    small_batches(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(sparse)
+    small_batches(spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weight = np.zeros(DIMS, np.float32)
         weight[shared.value[0]] = shared.value[1]
         heavy = bytearray((weight != 0).tobytes())
@@ -144,7 +145,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "t
         hits: dict[bytes, tuple[int, ...]] = {}  # words with features that weigh; most have none
         telling: set[bytes] = set()
         for b in batches:
-            texts = [words(t) for t in b.column(1).to_pylist()]
+            texts = [words(t) for t in b.to_pylist()]
             new = set().union(*texts).difference(seen)
             if len(seen) + len(new) > cache:
                 seen, new = set(), set().union(*texts)
@@ -159,28 +160,27 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "t
                 hit = {f for w in t & telling for f in hits[w]}  # each feature counts once
                 z = bias + float(weight[sorted(hit)].sum()) if hit else bias
                 scores.append(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores, pa.float64())], names=["doc_id", "key", "score"])
+            yield pa.array(scores, pa.float64())
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))
-    return rows.mapInArrow(run, "doc_id long, key long, score double")
+    return score(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, **how) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     Labels count only for documents whose crc32 of doc_id modulo folds is not
-    zero. Null and empty texts have no words and get the bias's score. Rows
-    repeat as in docs; a null doc_id is scored and never learnt from. With no
-    positive label all scores are the prior. Other columns are not read.
+    zero. Null and empty texts have no words and get the bias's score; very long
+    texts are read whole, one to a batch. Rows repeat as in docs, with equal
+    scores for equal texts; a null doc_id is scored and never learnt from. With
+    no positive label all scores are the prior. An empty table gives an empty
+    result; other columns, whatever their names, are not read.
     """
     model = train(docs, labels, fold(F.col("doc_id"), folds) != 0, **how)
-    scored = score_texts(docs, model)
+    scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), score_column(docs.sparkSession, model, docs["text"]).alias("score"))
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that score below 0.5, with all their columns."""
+    """The rows of docs that score below 0.5, with all their columns; each is judged where it lies, without an exchange."""
     model = train(docs, labels, fold(F.col(doc_id), folds) != 0, text, doc_id, **how)
-    bad = score_texts(docs, model, text, doc_id).filter("score >= 0.5").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.join(bad, docs[doc_id].cast("long").eqNullSafe(bad["_id"]) & (key == bad["_key"]), "left_anti")
+    return docs.filter(score_column(docs.sparkSession, model, docs[text]) < 0.5)
