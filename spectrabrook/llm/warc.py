@@ -136,19 +136,23 @@ def read_archive(uri: str, chunk: int = 1 << 16) -> Iterator[Record]:
         yield from map(parse, members(iter(lambda: f.read(chunk), b"")))
 
 
-def plan(pages: DataFrame, least_bytes: int = 100, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def plan(pages: DataFrame, least_bytes: int = 100, page_id: str = "page_id", url: str = "url", html: str = "html", salts: int = 32) -> DataFrame:
     """page_id, url, html, digest, refers_to for each row: refers_to is null for responses.
 
     Of equal payloads of least_bytes or more the smallest page_id is the
     response; rows that repeat that page_id are responses too. A null page_id
     ranks above all others, so that it refers to a named page if there is one.
+    Smaller payloads refer to nothing and stay where they lie. Copies of one
+    payload meet their response in `salts` tasks, not in one.
     """
-    text = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), text.alias("html"), F.sha2(text, 256).alias("digest"))
-    keys = pages.select(F.col(page_id).cast("long").alias("page_id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).alias("n")).filter(F.col("n") >= least_bytes)
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 and first is not null").select("digest", "first")
-    joined = rows.join(first, "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("first").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first")).alias("refers_to"))
+    text = F.coalesce(pages[html], F.lit(""))
+    rows = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"), text.alias("html"), F.sha2(text, 256).alias("digest"))
+    large = F.octet_length("html") >= least_bytes
+    first = rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 and first is not null")
+    spread = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = rows.filter(large).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    joined = salted.join(spread, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", F.when(F.col("first").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first")).alias("refers_to"))
+    return joined.unionByName(rows.filter(~large).withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def write_archives(planned: DataFrame, folder: str, archive_bytes: int = 1 << 30, level: int = 4) -> DataFrame:
@@ -157,7 +161,7 @@ def write_archives(planned: DataFrame, folder: str, archive_bytes: int = 1 << 30
     A task writes under a name of its attempt and renames at the end of each
     archive, so a task that is lost and run again leaves whole archives only.
     """
-    small_batches(planned.sparkSession, 256)
+    small_batches(planned.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
@@ -199,7 +203,7 @@ def read_archives(archives: DataFrame, tasks: int | None = None) -> DataFrame:
     """
     names = archives.select("archive")
     tasks = tasks or max(1, min(100_000, names.count()))
-    small_batches(archives.sparkSession, 256)
+    small_batches(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
@@ -232,8 +236,9 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 100, folder: str | None
     """Archive pages and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A null html is an empty payload; payloads under least_bytes are always
-    responses. Rows repeat as they do in pages. An empty table writes no
-    archive and gives an empty result; other columns are not read.
+    responses. Very long payloads are one record like any other. Rows repeat as
+    they do in pages. An empty table writes no archive and gives an empty
+    result; other columns, whatever their names, are not read.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     archives = write_archives(plan(pages, least_bytes), folder)
