@@ -11,6 +11,8 @@ Which digests the counters name affects only speed, never the result.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ from spectrabrook.llm.common import ascii_lower, stage
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, digest, row): SHA-256 of the normalised text, and a number for each row."""
     return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.sha2(ascii_lower(F.col(text)), 256).alias("digest"),
+        docs[doc_id].alias("doc_id"),
+        F.sha2(ascii_lower(docs[text]), 256).alias("digest"),
         F.monotonically_increasing_id().alias("row"),
     )
 
@@ -49,8 +51,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max
     Texts are equal when identical after lower-casing A-Z; the row with the
     largest doc_id of each group is kept. A null text is the empty text. A null
     doc_id ranks below every other. Of rows that repeat both doc_id and text
-    exactly one is kept. An empty table gives an empty result. Other columns
-    of docs, whatever their names, are not read.
+    exactly one is kept. Texts are compared by digest, so very long ones cost
+    no more memory than a row. An empty table gives an empty result. Other
+    columns of docs, whatever their names, are not read.
     """
     found = stage(digests(docs, text, doc_id), "exact-digests")
     heavy = F.broadcast(stage(heavy_digests(found, max_heavy, counters, min_copies), "exact-heavy"))
@@ -73,7 +76,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max
 
 
 def keep_distinct(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names."""
+    mark = f"_d{uuid.uuid4().hex}"
     verdicts = stage(exact_dedup(docs, text, doc_id).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("kept").alias("_kept")), "exact-verdicts")
     pairs = verdicts.groupBy("_id", "_digest").agg(F.max("_kept").alias("_any"), F.count(F.lit(1)).alias("_n"))
     lost = pairs.filter(~F.col("_any")).select("_id", "_digest")
@@ -81,7 +85,7 @@ def keep_distinct(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     stay = docs.join(lost, docs[doc_id].eqNullSafe(lost["_id"]) & (digest == lost["_digest"]), "left_anti")
     if not pairs.filter("_any and _n > 1").isEmpty():
         # Rows that repeat doc_id and text: equal keys meet here, and one is kept.
-        stay = stay.withColumn("_digest", F.sha2(ascii_lower(F.col(text)), 256)).dropDuplicates([doc_id, "_digest"]).drop("_digest")
+        stay = stay.withColumn(mark, F.sha2(ascii_lower(stay[text]), 256)).dropDuplicates([doc_id, mark]).drop(mark)
     return stay
 
 
