@@ -104,14 +104,61 @@ def test_mix(spark):
         assert r["source_size"] == size[s] and r["target"] == pytest.approx(want[s])
         assert r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
         taken[s] += r["taken"]
-    longest = max(len(words(t)) for _, t, _ in rows)
-    assert all(abs(taken[s] - want[s]) <= longest for s in order)
+    # Sources without the two texts of 30,000 words have short ones only and meet their targets; the other may miss by half of one.
+    for s in order:
+        assert abs(taken[s] - want[s]) <= (15_001 if s == "s2" else 1)
     assert mixing.mix(docs(spark, [])).count() == 0
     some = docs(spark, [(i, "w " * (i + 1), "s0") for i in range(5)] + [(9, "a b", "s1")])
     copies = Counter(r["doc_id"] for r in mixing.mixed_rows(some).collect())
     assert copies == {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(some).filter("taken > 0").collect()}
 
 
+def test_source_targets_equal_the_iteration(spark):
+    rnd = random.Random(4)
+    for n in (1, 2, 7, 40):
+        size = [rnd.choice([0, 1, 5, 100, 3000]) for _ in range(n)]
+        names = sorted({f"s{rnd.random()}" for _ in range(n - 1)}) + [None]
+        df = spark.createDataFrame(list(zip(names, size, strict=True)), "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+        assert got == pytest.approx(dict(zip(names, mixing.targets(size), strict=True)))
+
+
+def test_many_sources_and_hot_ones_without_a_broadcast(spark):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 40}" if i % 3 else "hot") for i in range(600)]
+    df = docs(spark, rows)
+    a, b = mixing.mix(df), mixing.mix(df, broadcast_rows=0, salts=4)
+    assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
+
+
+def test_budget_with_lengths_beyond_the_window():
+    length, count = np.array([1, 3, 1000, 5000]), np.array([50, 40, 9, 3])
+    for budget in (100, 170, 999, 4000, 9200, 20_000):
+        take = mixing.fit_budget(length, count, budget, least_window=16, most_window=64)
+        assert (take <= count).all() and abs(int((take * length).sum()) - budget) <= 2500
+    assert int((mixing.fit_budget(length, count, 1083, 16, 64) * length).sum()) == 1083
+
+
+def test_mixed_rows_keep_clashing_columns_and_rows_that_share_an_id(spark):
+    rows = [(1, "a b", "x", 7, 8, 9), (1, "a b c d e f", "x", 1, 2, 3), (2, "a", "y", 4, 5, 6), (3, "b b", "y", 0, 0, 0), (3, "b b", "y", 0, 0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _id long, _copy long, times long")
+    got = mixing.mixed_rows(df)
+    assert got.columns == df.columns
+    sizes, total = Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        sizes[r["doc_id"], r["size"]] += r["taken"] // r["size"]
+    for r in got.collect():
+        total[r["doc_id"], len(r["text"].split())] += 1
+    assert total == Counter({k: v for k, v in sizes.items() if v})
+
+
+def test_exact_dedup_keeps_a_column_called_digest(spark):
+    df = docs(spark, [(1, "a", "s"), (1, "a", "s"), (2, "b", "s"), (3, "B", "s")])
+    kept = exact_dedup.keep_distinct(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    twice = df.withColumn("_digest", F.lit("mine")).withColumn("_id", F.lit(5))
+    assert {(r["_digest"], r["_id"]) for r in exact_dedup.keep_distinct(twice).collect()} == {("mine", 5)}
+
+
 def brute_fingerprint(text):
     w = [x.encode() for x in words((text or "").translate(LOWER))]
     if not w:
