@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +48,39 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for held in _SCOPES:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths staged since each open scope began.
+_SCOPES: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def staged_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside go at the end: for callers that have written their result by then.
+
+    Without it they stay, for a lazy result reads them; whoever consumes it may
+    empty the folder afterwards.
+    """
+    held: list[str] = []
+    _SCOPES.append(held)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(held)
+        for path in held:
+            remove(spark, path)
+
+
 #: Bytes of an Arrow batch of texts that goes to Python; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 

@@ -9,11 +9,21 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectrabrook.llm import mixing, simhash, toxicity
+from spectrabrook.llm import jaccard, mixing, toxicity
 
 SF = "/root/testdata/sf0.001"
 
 
+def five_word_shingles(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def similar(a, b):
+    both = len(a & b)
+    return both >= 0.8 * (len(a) + len(b) - both) - 1e-9
+
+
 def test_pipeline_matches_brute_force(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -25,14 +35,15 @@ def test_pipeline_matches_brute_force(spark):
     for i, r in left.items():
         largest[r["text"].encode().lower()] = max(i, largest.get(r["text"].encode().lower(), i))
     left = {i: left[i] for i in largest.values()}
-    fp = {i: simhash.fingerprint(r["text"]) for i, r in left.items()}
+    # The stage's rule: five words, a similarity of 0.8 or more, the smallest id of a class stays.
+    sets = {i: five_word_shingles(r["text"]) for i, r in left.items()}
     group = {i: i for i in left}
     changed = True
     while changed:
         changed = False
         for a in left:
             for b in left:
-                if group[b] > group[a] and (fp[a] ^ fp[b]).bit_count() <= 3:
+                if group[b] > group[a] and similar(sets[a], sets[b]):
                     group[b], changed = group[a], True
     left = {i: left[i] for i in set(group.values())}
     taken = {r["doc_id"]: r["taken"] // max(1, r["size"]) for r in mixing.mix(docs.filter(F.col("doc_id").isin(list(left)))).collect()}
@@ -67,16 +78,11 @@ def test_near_copies_match_brute_force(spark):
     rows += [(300, "a b c"), (301, "A  b c"), (302, "a b d"), (303, ""), (304, "  "), (305, None), (305, None), (None, "a b c")]
     rows += [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000).collect()]
 
-    def shingles(t):
-        w = (t or "").encode().lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-    sets = [shingles(t) for _, t in rows]
+    sets = [five_word_shingles(t) for _, t in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if group[i] != group[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+            if group[i] != group[j] and similar(sets[i], sets[j]):
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     least = {}
@@ -87,3 +93,14 @@ def test_near_copies_match_brute_force(spark):
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, df, SF).collect())
     assert got == want
     assert corpus_pipeline.near_copies(spark, df.limit(0), SF).count() == 0
+
+
+def test_signatures_bound_the_difference_and_votes_match_the_rule():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 900):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[n // 4 :], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)])
+        apart = int(np.bitwise_count((jaccard.signature(a) ^ jaccard.signature(b)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+        want = sum(1 << k for k in range(64) if 2 * int(((a >> np.uint64(k)) & np.uint64(1)).sum()) > len(a))
+        assert jaccard.vote(a) % (1 << 64) == want
