@@ -86,8 +86,10 @@ def runs(panel: DataFrame, value: str = "spread") -> DataFrame:
 
 
 def daily_changes(run_rows: DataFrame, days: int) -> DataFrame:
-    """Changes of each day, the sum of n - 1 over its runs; days without runs have 0."""
+    """Changes of each of days 0 to days - 1, the sum of n - 1 over its runs; days without runs have 0, runs of other days are refused."""
     n = run_rows.groupBy("day_index").agg(F.sum(F.col("n") - 1).alias("changes"))
+    inside = (F.col("day_index") >= 0) & (F.col("day_index") < days)
+    n = n.filter(F.when(inside, True).otherwise(F.raise_error(F.concat(F.lit(f"a run outside the calendar of {days} days: day "), F.col("day_index"))).cast("boolean")))
     grid = run_rows.sparkSession.range(days).select(F.col("id").cast("int").alias("day_index"))
     return grid.join(n, "day_index", "left").fillna(0, ["changes"])
 

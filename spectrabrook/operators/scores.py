@@ -40,6 +40,27 @@ def score_table(scores: DataFrame, *keys: str) -> DataFrame:
     return scores.groupBy(*keys).agg(*measures())
 
 
+def comparison(forecasts: DataFrame, benchmark: str, keys: Sequence[str] = ("horizon",)) -> DataFrame:
+    """By keys and model: n, bias, rmse, mae, mean width and score of the 95% interval, and the gain over a benchmark model.
+
+    forecasts has model, actual, error, lower95 and upper95. The gain is how much
+    smaller the RMSE is than the benchmark's of the same keys, in percent.
+    """
+    lo, hi, a = F.col("lower95"), F.col("upper95"), F.col("actual")
+    outside = F.greatest(lo - a, F.lit(0.0)) + F.greatest(a - hi, F.lit(0.0))
+    table = forecasts.groupBy(*keys, "model").agg(
+        F.count("error").alias("n"),
+        F.avg("error").alias("bias"),
+        F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
+        F.avg(F.abs("error")).alias("mae"),
+        F.avg(hi - lo).alias("width95"),
+        F.avg(hi - lo + 40 * outside).alias("interval95"),
+    )
+    # The benchmark's row of each key beside the others, in a window of as many rows as models.
+    base = F.max(F.when(F.col("model") == benchmark, F.col("rmse"))).over(Window.partitionBy(*keys))
+    return table.withColumn("gain_pct", 100 * (1 - F.col("rmse") / base))
+
+
 def score_grouping_sets(scores: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     """The same measures at several levels in one pass; a key outside a row's level is null, and level numbers the set."""
     keys = list(dict.fromkeys(k for s in sets for k in s))

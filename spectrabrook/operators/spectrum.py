@@ -111,11 +111,19 @@ def random_groups(df: DataFrame, shards: int, seed: int = 0, key: str = "k") ->
 
 
 def shard_completeness(df: DataFrame, shards: int, total: int) -> DataFrame:
-    """For each shard of a systematic partition: rows held and due, and whether it is complete."""
-    held = df.groupBy("shard_id").agg(F.count(F.lit(1)).alias("held"), F.countDistinct("k").alias("distinct_k"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
+    """For each shard of a systematic partition: rows held and due, its ends, and whether it is complete.
+
+    A complete shard holds each of its frequencies once, from its first to its
+    last, with finite positive ordinates if there is a periodogram.
+    """
+    power = F.col("periodogram") if "periodogram" in df.columns else F.lit(1.0)
+    usable = F.coalesce((power > 0) & (power < float("inf")), F.lit(False))  # NaN is above infinity
+    held = df.groupBy("shard_id").agg(F.count(F.lit(1)).alias("held"), F.countDistinct("k").alias("distinct_k"), F.min("k").alias("first_k"), F.max("k").alias("last_k"), F.bool_and(usable).alias("usable"))
     due = df.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard_id")).withColumn("due", F.floor((F.lit(total - 1) - F.col("shard_id")) / shards) + 1)
     joined = due.join(held, "shard_id", "left").fillna(0, ["held", "distinct_k"])
-    return joined.withColumn("complete", (F.col("held") == F.col("due")) & (F.col("distinct_k") == F.col("due")))
+    whole = (F.col("held") == F.col("due")) & (F.col("distinct_k") == F.col("due"))
+    ends = (F.col("due") == 0) | ((F.col("first_k") == F.col("shard_id") + 1) & (F.col("last_k") == F.col("shard_id") + 1 + (F.col("due") - 1) * shards) & F.col("usable"))
+    return joined.withColumn("complete", F.coalesce(whole & ends, F.lit(False)))
 
 
 def residual_periodogram(spectrum: DataFrame, n: int, beta: Sequence[float], covariates: Sequence[str], column: str = "y") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spectrabrook.functions.columns import spectral_density, whittle_term
 from spectrabrook.functions.model import Settings, Spec
 from spectrabrook.operators import combine, diagnose, panel, scores, spectrum, timeindex
-from spectrabrook.plans import experiment, forecast, inference
+from spectrabrook.plans import experiment, forecast, inference, production
 from spectrabrook.sources import series
 
 HOURS, SHARDS, SLOTS = 720, 8, 288
@@ -263,9 +263,12 @@ def cond_ar2_loglik(spark, sf_dir):
     return one.agg(F.count(F.lit(1)).alias("n"), r6(-0.5 * F.sum(F.log(F.lit(2 * np.pi * 9.0)) + u * u / 9.0)).alias("log_likelihood"))
 
 
-@query()
+@query(f"""with {GRID}, g as (select least(t // 103, 6) as shard_id, t - 103 * least(t // 103, 6) as u, case when t < 618 then 103 else 102 end as n, y from grid),
+d as (select shard_id, n, k, sum(y * cos(2 * pi() * ((k * u) % n) / n)) as re, sum(y * sin(2 * pi() * ((k * u) % n) / n)) as im from g, (select unnest(range(1, 52)) as k) where k <= (n - 1) // 2 group by 1, 2, 3)
+select cast(shard_id as integer) as shard_id, k, round(2 * pi() * k / n, 6) as omega, round(4 * pow(sin(pi() * k / n), 2), 6) as q, round((re * re + im * im) / (2 * pi() * n), 6) as periodogram, cast(n as bigint) as n from d""")
 def time_segment_periodograms(spark, sf_dir):
-    return spectrum.time_segments(hourly(spark, sf_dir), HOURS, 7)
+    s = spectrum.time_segments(hourly(spark, sf_dir), HOURS, 7)
+    return s.select("shard_id", "k", r6("omega").alias("omega"), r6("q").alias("q"), r6("periodogram").alias("periodogram"), "n")
 
 
 # Panels
@@ -497,6 +500,32 @@ def score_grouping_sets(spark, sf_dir):
     return out.select("model", whole("horizon"), whole("origin"), "level", "n", "days", r6("rmse").alias("rmse"))
 
 
+@query(f"""with {FORECASTS}, x as (select *, prediction - actual as e, 0.9 * prediction as lo80, 1.1 * prediction as hi80, 0.8 * prediction as lo95, 1.2 * prediction as hi95 from f)
+select model, origin, count(*) as n, count(distinct day_index) as days, round(sqrt(avg(e * e)), 6) as rmse, round(avg(abs(e)), 6) as mae, round(avg(abs(e)), 6) as crps,
+round(avg(case when actual between lo80 and hi80 then 1.0 else 0.0 end), 6) as cover80, round(avg(case when actual between lo95 and hi95 then 1.0 else 0.0 end), 6) as cover95,
+round(avg(hi80 - lo80 + 10 * (greatest(lo80 - actual, 0) + greatest(actual - hi80, 0))), 6) as interval80, round(avg(hi95 - lo95 + 40 * (greatest(lo95 - actual, 0) + greatest(actual - hi95, 0))), 6) as interval95
+from x group by 1, 2""")
+def score_measures(spark, sf_dir):
+    """Every measure of a score table, for point forecasts with intervals of ten and twenty percent."""
+    f, p, a = forecasts(spark, sf_dir), F.col("prediction"), F.col("actual")
+    miss = lambda w: F.greatest((1 - w) * p - a, F.lit(0.0)) + F.greatest(a - (1 + w) * p, F.lit(0.0))
+    inside = lambda w: F.when(a.between((1 - w) * p, (1 + w) * p), 1.0).otherwise(0.0)
+    rows = f.withColumns({"ae": F.abs("error"), "crps": F.abs("error"), "cover80": inside(0.1), "cover95": inside(0.2), "interval80": (1.1 - 0.9) * p + 10 * miss(0.1), "interval95": (1.2 - 0.8) * p + 40 * miss(0.2)})
+    out = scores.score_table(rows, "model", "origin")
+    return out.select("model", "origin", "n", "days", *[r6(c).alias(c) for c in ("rmse", "mae", "crps", "cover80", "cover95", "interval80", "interval95")])
+
+
+@query(f"""with {FORECASTS}, x as (select *, prediction - actual as e from f),
+s as (select horizon, model, count(*) as n, avg(e) as bias, sqrt(avg(e * e)) as rmse, avg(abs(e)) as mae, avg(0.4 * prediction) as width95, avg(0.4 * prediction + 40 * (greatest(0.8 * prediction - actual, 0) + greatest(actual - 1.2 * prediction, 0))) as interval95 from x group by 1, 2)
+select s.horizon, s.model, s.n, round(s.bias, 6) as bias, round(s.rmse, 6) as rmse, round(s.mae, 6) as mae, round(s.width95, 6) as width95, round(s.interval95, 6) as interval95, round(100 * (1 - s.rmse / b.rmse), 6) as gain_pct from s join s b on b.horizon = s.horizon and b.model = 'B'""")
+def comparison_table(spark, sf_dir):
+    """Models beside a benchmark: bias, errors, width and score of the 95% interval, and the gain in RMSE."""
+    p = F.col("prediction")
+    rows = forecasts(spark, sf_dir).withColumns({"lower95": (1 - 0.2) * p, "upper95": (1 + 0.2) * p})
+    out = scores.comparison(rows, "B", ["horizon"])
+    return out.select("horizon", "model", "n", *[r6(c).alias(c) for c in ("bias", "rmse", "mae", "width95", "interval95", "gain_pct")])
+
+
 CLUSTERS = """
 w as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, day_index, origin, horizon, max(case when model = 'A' then pow(prediction - actual, 2) end) as a, max(case when model = 'B' then pow(prediction - actual, 2) end) as b from f group by 1, 2, 3, 4, 5, 6, 7),
 cl as (select horizon, origin, cast(floor(day_index / 20) as integer) as cluster, sum(a) as candidate, sum(b) as benchmark, count(*) as n from w group by 1, 2, 3)"""
@@ -640,6 +669,18 @@ def parametric_product(spark, sf_dir):
     return spark.createDataFrame([(float(mean[0]), float(cov[0, 0]))], "mean double, variance double").select(r6("mean").alias("mean"), r6("variance").alias("variance"))
 
 
+@query(f"""with {DRAWS}, v as (select shard_id, covar_samp(a, a) as v00, covar_samp(a, b) as v01, covar_samp(b, b) as v11, avg(a) as ma, avg(b) as mb from draws where a > 0 group by 1),
+w as (select v11 / (v00 * v11 - v01 * v01) as w00, -v01 / (v00 * v11 - v01 * v01) as w01, v00 / (v00 * v11 - v01 * v01) as w11, ma, mb from v),
+t as (select sum(w00) as t00, sum(w01) as t01, sum(w11) as t11, sum(w00 * ma + w01 * mb) as x, sum(w01 * ma + w11 * mb) as y from w)
+select round((t11 * x - t01 * y) / (t00 * t11 - t01 * t01), 6) as mean_a, round((t00 * y - t01 * x) / (t00 * t11 - t01 * t01), 6) as mean_b, round(t11 / (t00 * t11 - t01 * t01), 6) as c00, round(-t01 / (t00 * t11 - t01 * t01), 6) as c01, round(t00 / (t00 * t11 - t01 * t01), 6) as c11 from t""")
+def parametric_product_joint(spark, sf_dir):
+    """The product of the shards' joint Gaussian fits, both parameters, over draws whose logarithm is finite."""
+    draws = event_draws(spark, sf_dir).filter(F.col("theta")[0] > 0)
+    mean, cov, _ = combine.parametric_product(draws, 2, 1)
+    row = [float(x) for x in (*mean, cov[0, 0], cov[0, 1], cov[1, 1])]
+    return spark.createDataFrame([row], "mean_a double, mean_b double, c00 double, c01 double, c11 double").select(*[r6(c).alias(c) for c in ("mean_a", "mean_b", "c00", "c01", "c11")])
+
+
 @query(f"""with {DRAWS}, p as (select list_transform(range(1, 100), lambda i: i / 100.0::double) as p),
 x as (select parameter, [{", ".join(f"quantile_cont(value, {i / 100!r})" for i in range(1, 100))}] as q from long where shard_id = 0 group by 1),
 y as (select parameter, [{", ".join(f"quantile_cont(value, {i / 100!r})" for i in range(1, 100))}] as q from long where shard_id = 1 group by 1),
@@ -732,23 +773,42 @@ def kernel_product_draws(spark, sf_dir):
     return combine.kernel_product(event_draws(spark, sf_dir), 2, 200, semi=True)
 
 
+#: The production path's model and sampler on the panel of events, whose history is short.
+PRODUCTION = (Spec(ma=1), Settings(draws=2000, burn=200, chains=2, seed=3))
+
+
+@query()
+def production_gates(spark, sf_dir):
+    """What the gates say of the history before day 25, fitted in four shards."""
+    return production.fitted_posterior(event_panel(spark, sf_dir), 25, 4, PRODUCTION[1], PRODUCTION[0])[1]
+
+
 @query()
 def forecast_paths(spark, sf_dir):
+    """Forecasts of the days after a fitted history, from its consensus draws; none if the gates refuse it."""
     p = event_panel(spark, sf_dir)
-    tasks = panel.rolling_plan(p, panel.daily_changes(panel.runs(p), 30), 20, ORIGINS, (2, 4), 6, PHASES)
+    posterior, _ = production.fitted_posterior(p, 25, 4, PRODUCTION[1], PRODUCTION[0])
+    past = p.filter("day_index < 25")
+    tasks = panel.rolling_plan(p, panel.daily_changes(panel.runs(p), 30), 20, ORIGINS, (2, 4), 6, PHASES).filter("day_index >= 25")
     ends = spark.createDataFrame([(o, (0 if ph == "am" else 144) + e) for _, o, ph, e in ORIGINS], "origin string, end int")
-    clock = panel.clock_profile(p).join(panel.calibration(p), ["phase", "second"], "left").select("second", "profile", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("scale", F.lit(1.0)).alias("scale"))
-    days = p.select("day_index").distinct()
-    rng = np.random.default_rng(5)
-    few = spark.createDataFrame([(c, d, [float(x) for x in (-0.5 + 0.05 * rng.normal(), 0.5, 1.0, 0.1)]) for c in range(2) for d in range(4)], "chain int, draw long, theta array<double>")
-    posterior = days.join(F.broadcast(few))  # eight rows for each day
-    found = forecast.forecast_days(tasks.join(F.broadcast(ends), "origin"), p, clock, posterior, draws=8, paths_per_draw=8)
+    clock = panel.clock_profile(past).join(panel.calibration(past), ["phase", "second"], "left").select("second", "profile", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("scale", F.lit(1.0)).alias("scale"))
+    days = tasks.select("day_index").distinct()
+    # A day takes 16 draws of each chain, spread evenly over the chain.
+    spread = posterior.filter(F.pmod("draw", F.lit(PRODUCTION[1].draws // 16)) == 0).select("chain", "draw", "theta")
+    found = forecast.forecast_days(tasks.join(F.broadcast(ends), "origin"), p, clock, days.join(F.broadcast(spread)), draws=8, paths_per_draw=8)  # 32 rows for each day
     return scores.score_samples(found).drop("draws")
 
 
-@query()
+@query(f"""with {PANEL}, ch as (select * from changes where day_index < 25 and change is not null), s as (select phase, second, avg(change) as mean, stddev_pop(change) as sd from ch group by 1, 2),
+fl as (select phase, greatest(1e-6, 0.05 * quantile_cont(sd, 0.5)) as floor from s group by 1),
+z as (select day_index, phase, second, (change - mean) / greatest(sd, floor) as z from ch join s using (phase, second) join fl using (phase)),
+o as (select row_number() over (order by day_index, phase, second) - 1 as i, count(*) over () as n, z / stddev_pop(z) over () as y from z),
+e as (select i - n % 2 as t, n - n % 2 as n, y from o where i >= n % 2), f as (select unnest(range(1, (select (max(n) - 1) // 2 + 1 from e))) as k),
+d as (select k, n, sum(y * cos(2 * pi() * ((k * t) % n) / n)) as re, -sum(y * sin(2 * pi() * ((k * t) % n) / n)) as im from e, f group by 1, 2)
+select k, round(2 * pi() * k / n, 6) as omega, round(4 * pow(sin(pi() * k / n), 2), 6) as q, round((re * re + im * im) / (2 * pi() * n), 6) as periodogram, round(re, 5) as re, round(im, 5) as im from d""")
 def history_spectrum(spark, sf_dir):
-    return forecast.history_spectrum(event_panel(spark, sf_dir), 25)[0]
+    found = forecast.history_spectrum(event_panel(spark, sf_dir), 25)[0]
+    return found.select("k", r6("omega").alias("omega"), r6("q").alias("q"), r6("periodogram").alias("periodogram"), F.round("re", 5).alias("re"), F.round("im", 5).alias("im"))
 
 
 @query()

@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 from spectrabrook.operators.timeindex import dense_index, require_columns, require_finite
 
 
-def hourly(events: DataFrame, hours: int = 720, start: str = "2024-01-01 00:00:00", time: str = "ts", value: str = "value") -> DataFrame:
-    """Counts y and sums x1 of events by hour since start, on a grid of all hours: t, y, x1."""
-    t = F.expr(f"timestampdiff(HOUR, timestamp_ntz'{start}', {time})").cast("long")
-    found = events.groupBy(t.alias("t")).agg(F.count(F.lit(1)).cast("double").alias("y"), F.sum(value).alias("x1")).filter((F.col("t") >= 0) & (F.col("t") < hours))
+def hourly(events: DataFrame, hours: int = 720, start: str = "2024-01-01 00:00:00", time: str = "ts", value: str = "value", outside: str = "raise") -> DataFrame:
+    """Counts y and sums x1 of events by hour since start, on a grid of all hours: t, y, x1.
+
+    Events before or after the grid are refused when the rows are read, or with
+    outside "drop" left out. Events without a time count for no hour.
+    """
+    t = F.floor(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{start}', {time})") / 3_600_000_000)
+    found = events.filter(F.col(time).isNotNull()).groupBy(t.cast("long").alias("t")).agg(F.count(F.lit(1)).cast("double").alias("y"), F.sum(value).alias("x1"))
+    inside = (F.col("t") >= 0) & (F.col("t") < hours)
+    if outside != "drop":
+        inside = F.when(inside, True).otherwise(F.raise_error(F.concat(F.lit(f"events outside the {hours} hours since {start}: hour "), F.col("t"))).cast("boolean"))
     grid = events.sparkSession.range(hours).select(F.col("id").alias("t"))
-    return grid.join(found, "t", "left").fillna(0.0, ["y", "x1"])
+    return grid.join(found.filter(inside), "t", "left").fillna(0.0, ["y", "x1"])
 
 
 def daily(orders: DataFrame, time: str = "o_orderdate", value: str = "o_totalprice") -> DataFrame:

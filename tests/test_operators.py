@@ -269,3 +269,24 @@ def test_a_zero_has_an_infinite_logarithm_and_no_consensus(spark):
         combine.consensus(draws, 2)
     kept = combine.kernel_product(draws, 2, 30, seed=4).collect()
     assert len(kept) == 30 and np.isfinite([r["theta"] for r in kept]).all()
+
+
+def test_events_and_runs_outside_their_calendar_are_refused(spark):
+    rows = [("2024-01-01 00:30:00", 1.0), ("2023-12-31 23:45:00", 2.0)]
+    events = spark.createDataFrame(rows, "ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    with pytest.raises(Exception, match="outside the 24 hours"):
+        series.hourly(events, 24).collect()
+    kept = series.hourly(events, 24, outside="drop").filter("y > 0").collect()
+    assert [(r["t"], r["y"], r["x1"]) for r in kept] == [(0, 1.0, 1.0)]
+    run_rows = spark.createDataFrame([(0, 3), (7, 2)], "day_index int, n long")
+    with pytest.raises(Exception, match="calendar of 5 days"):
+        panel.daily_changes(run_rows, 5).collect()
+
+
+def test_completeness_looks_at_ends_and_values(spark):
+    good = spark.createDataFrame([(k, 1.0) for k in range(1, 10)], "k long, periodogram double")
+    state = lambda df: [r["complete"] for r in spectrum.shard_completeness(spectrum.systematic(df, 3), 3, 9).orderBy("shard_id").collect()]
+    assert state(good) == [True, True, True]
+    assert state(good.withColumn("k", F.when(F.col("k") == 9, 12).otherwise(F.col("k")))) == [True, True, False]
+    for bad in (0.0, float("inf"), float("nan")):
+        assert state(good.withColumn("periodogram", F.when(F.col("k") == 2, bad).otherwise(1.0))) == [True, False, True]
