@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrabrook.functions.columns import TWO_PI, half_angle
+from spectrabrook.operators.timeindex import divisor_blocks
 
 
 def direct_dft(series: DataFrame, n: int, columns: Sequence[str] = ("y",), t: str = "t") -> DataFrame:
@@ -81,6 +82,62 @@ def fft(series: DataFrame, n: int, blocks: int, columns: Sequence[str] = ("y",),
     return found
 
 
+def chirp_fft(series: DataFrame, n: int, blocks: int, columns: Sequence[str] = ("y",), t: str = "t") -> DataFrame:
+    """The same as fft for real columns of any length, prime ones too: (k, re_<column>, im_<column>) for 0 < k < n/2.
+
+    With jk = (j^2 + k^2 - (k - j)^2) / 2 a transform is a convolution with a
+    chirp, done on a power of two of at least 2n - 1 points by two transforms:
+    one of the columns and the chirp together, one back. Squares are reduced
+    modulo 2n as integers, so that angles stay exact.
+    """
+    size = 1 << (2 * n - 2).bit_length()
+    spark = series.sparkSession
+
+    def angle(i):
+        return F.pmod(i * i, F.lit(2 * n)) * F.lit(np.pi / n)
+
+    i = F.col("t")
+    near = F.when(i < n, i).when(i > size - n, F.lit(size) - i)
+    held = series.select(F.col(t).cast("long").alias("t"), *[F.col(c).cast("double").alias(f"v{m}") for m, c in enumerate(columns)], F.lit(1).alias("own"))
+    grid = spark.range(size).select(F.col("id").alias("t")).join(held, "t", "left")
+    known = F.when(F.col("own").isNotNull() | (i >= n), True).otherwise(F.raise_error(F.concat(F.lit("the series lacks time index "), i)).cast("boolean"))
+    parts, imaginary = [F.coalesce(F.cos(angle(near)), F.lit(0.0)).alias("c"), F.coalesce(F.sin(angle(near)), F.lit(0.0)).alias("ci")], {"c": "ci"}
+    for m in range(len(columns)):
+        v = F.when(i < n, F.col(f"v{m}")).otherwise(0.0)
+        turn = F.when(i < n, angle(i)).otherwise(0.0)
+        parts += [(v * F.cos(turn)).alias(f"a{m}"), (-v * F.sin(turn)).alias(f"ai{m}")]
+        imaginary[f"a{m}"] = f"ai{m}"
+    both = fft(grid.filter(known).select("t", *parts), size, blocks, ["c", *[f"a{m}" for m in range(len(columns))]], "t", imaginary, positive=False)
+    # The conjugate of the product; its transform is the conjugate of the inverse's.
+    product, back = [F.col("k").alias("t")], {}
+    for m in range(len(columns)):
+        re = F.col("re_c") * F.col(f"re_a{m}") - F.col("im_c") * F.col(f"im_a{m}")
+        im = F.col("re_c") * F.col(f"im_a{m}") + F.col("im_c") * F.col(f"re_a{m}")
+        product += [re.alias(f"p{m}"), (-im).alias(f"pi{m}")]
+        back[f"p{m}"] = f"pi{m}"
+    found = fft(both.select(*product), size, blocks, list(back), "t", back, positive=False).filter((F.col("k") > 0) & (F.col("k") <= (n - 1) // 2))
+    cos, sin = F.cos(angle(F.col("k"))), F.sin(angle(F.col("k")))
+    out = ["k"]
+    for m, c in enumerate(columns):
+        re, im = F.col(f"re_p{m}") / size, -F.col(f"im_p{m}") / size
+        out += [(re * cos + im * sin).alias(f"re_{c}"), (im * cos - re * sin).alias(f"im_{c}")]
+    return found.select(*out)
+
+
+def transform(series: DataFrame, n: int, columns: Sequence[str] = ("y",), t: str = "t", most_blocks: int = 4096, block_rows: int = 1 << 16, task_rows: int = 1 << 22) -> DataFrame:
+    """fft with as many blocks as the length asks for: about block_rows rows each, any divisor of n.
+
+    Where no divisor keeps a task below task_rows rows, the chirp transform does.
+    """
+    wanted = min(most_blocks, max(1, -(-n // block_rows)))
+    if n <= task_rows:
+        wanted = min(n, max(16, wanted))
+    blocks = divisor_blocks(n, wanted)
+    if n // blocks <= task_rows:
+        return fft(series, n, blocks, columns, t)
+    return chirp_fft(series, n, 1 << (wanted - 1).bit_length(), columns, t)
+
+
 def periodogram(spectrum: DataFrame, n: int, column: str = "y") -> DataFrame:
     """k, omega, q, periodogram, re, im: |X|^2 / (2 pi n), no mean taken off."""
     re, im = F.col(f"re_{column}"), F.col(f"im_{column}")
@@ -153,13 +210,26 @@ def time_segments(series: DataFrame, n: int, segments: int, columns: Sequence[st
     return series.select(of.cast("int").alias("shard_id"), t, y).repartitionById(segments, "shard_id").groupBy("shard_id").applyInPandas(local, "shard_id int, k long, omega double, q double, periodogram double, n long")
 
 
-def autocorrelation(series: DataFrame, lags: int, y: str = "y", t: str = "t") -> DataFrame:
-    """(lag, acf): each row meets its followers in an equi-join on the shifted index."""
+def autocorrelation(series: DataFrame, lags: int, y: str = "y", t: str = "t", block_rows: int = 1 << 16) -> DataFrame:
+    """(lag, acf): products within blocks of the index, each with a halo of the `lags` rows before it.
+
+    One exchange of little more than the series; an index that is missing adds
+    nothing to any lag.
+    """
     m = series.agg(F.avg(y).alias("m"), F.sum((F.col(y) * F.col(y))).alias("s2"), F.count(y).alias("n")).first()
     mean, total = float(m["m"]), float(m["s2"]) - int(m["n"]) * float(m["m"]) ** 2
-    base = series.select(F.col(t).alias("t"), (F.col(y) - mean).alias("v"))
-    ahead = base.select(F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), F.col("t"), F.col("v")).withColumn("t", F.col("t") + F.col("lag")).withColumnRenamed("v", "v0")
-    return ahead.join(base, "t").groupBy("lag").agg((F.sum(F.col("v") * F.col("v0")) / total).alias("acf"))
+    size = max(block_rows, lags + 1)
+    at, place = F.floor(F.col(t) / size), F.pmod(F.col(t), F.lit(size))
+    own, halo = F.struct(at.alias("b"), place.alias("i")), F.struct((at + 1).alias("b"), (place - size).alias("i"))
+    to = F.when(place >= size - lags, F.array(own, halo)).otherwise(F.array(own))
+    rows = series.filter(F.col(y).isNotNull()).select(F.explode(to).alias("to"), (F.col(y) - mean).alias("v")).select("to.b", "to.i", "v")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros(lags + size)
+        x[pdf["i"].to_numpy() + lags] = pdf["v"].to_numpy()
+        return pd.DataFrame({"lag": np.arange(lags + 1), "s": [float(x[lags:] @ x[lags - j : len(x) - j]) for j in range(lags + 1)]})
+
+    return rows.groupBy("b").applyInPandas(run, "lag int, s double").groupBy("lag").agg((F.sum("s") / total).alias("acf"))
 
 
 def lagged(series: DataFrame, lags: int, y: str = "y", order: str = "t", keys: Sequence[str] = ()) -> DataFrame:

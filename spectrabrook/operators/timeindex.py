@@ -73,6 +73,11 @@ def fft_blocks(n: int, most: int) -> int:
     return p
 
 
+def divisor_blocks(n: int, most: int) -> int:
+    """The largest number up to most that divides n."""
+    return next(p for p in range(min(n, most), 0, -1) if n % p == 0)
+
+
 def on_grid(df: DataFrame, n: int, fill: float | None = 0.0, t: str = "t") -> DataFrame:
     """All of 0..n-1, other columns filled where a value is missing."""
     grid = df.sparkSession.range(n).select(F.col("id").alias(t))

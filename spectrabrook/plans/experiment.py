@@ -14,7 +14,6 @@ from spectrabrook.functions.model import Settings, Spec
 from spectrabrook.functions.predict import predictor
 from spectrabrook.operators import panel as panels
 from spectrabrook.operators import spectrum
-from spectrabrook.operators.timeindex import fft_blocks
 
 
 def quarterly_folds(days: DataFrame, date: str = "date", first_test: str | None = None) -> DataFrame:
@@ -67,7 +66,7 @@ def train_arima011(series: DataFrame, n: int, blocks: int | None = None, t: str
     """MA(1) of the differences by its Whittle MAP: the sums come from the whole spectrum, the search is one task's."""
     rows = with_lags(series, 1, y, t).select((F.col("t") - 1).alias("t"), (F.col("y0") - F.col("y1")).alias("y"))
     m = n - 1
-    p = spectrum.periodogram(spectrum.fft(rows, m, blocks or fft_blocks(m, 256)), m)
+    p = spectrum.periodogram(spectrum.fft(rows, m, blocks) if blocks else spectrum.transform(rows, m), m)
     from spectrabrook.plans.inference import sample_shards
 
     best = sample_shards(p.withColumn("shard_id", F.lit(0)), Spec(ma=1), 1, Settings(draws=1, burn=0)).first()

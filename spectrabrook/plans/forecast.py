@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from spectrabrook.functions.predict import predictor, sum_variances
 from spectrabrook.operators import panel as panels
 from spectrabrook.operators import spectrum
-from spectrabrook.operators.timeindex import fft_blocks
 
 FORECAST = "day_index int, event string, origin string, horizon int, context_levels int, model string, target_ok boolean, actual double, prediction double, draws array<double>"
 MODELS = ("spectral", "null", "last_value", "clock")
@@ -110,4 +109,4 @@ def history_spectrum(panel: DataFrame, last_day: int, most_blocks: int = 256) ->
     n, odd = int(s["n"]), int(s["n"]) % 2
     series = rows.filter(F.col("t") >= odd).select((F.col("t") - odd).alias("t"), (F.col("z") / float(s["sd"])).alias("y"))
     n -= odd
-    return spectrum.periodogram(spectrum.fft(series, n, fft_blocks(n, most_blocks)), n), n, float(s["sd"])
+    return spectrum.periodogram(spectrum.transform(series, n, most_blocks=most_blocks), n), n, float(s["sd"])

@@ -79,13 +79,11 @@ def _serial(draws: DataFrame, settings: Settings) -> DataFrame:
 
 def fit_frequency_shards(series: DataFrame, n: int, spec: Spec, shards: int, settings: Settings, partition: str = "systematic", blocks: int | None = None, full: bool = False) -> Merged:
     """FFT, frequency shards, a sampler per shard, average and consensus; with full also the fit without shards."""
-    from spectrabrook.operators.timeindex import fft_blocks
-
     mean = None
     if spec.mean:
         m = series.agg(F.avg("y")).first()[0]
         mean = (float(m), n)
-    found = spectrum.periodogram(spectrum.fft(series, n, blocks or fft_blocks(n, 256)), n).cache()
+    found = spectrum.periodogram(spectrum.fft(series, n, blocks) if blocks else spectrum.transform(series, n), n).cache()
     total = spectrum.positive_frequencies(n)
     cut = {"systematic": lambda: spectrum.systematic(found, shards), "sequential": lambda: spectrum.sequential(found, shards, total), "random": lambda: spectrum.random_groups(found, shards, settings.seed)}
     if partition not in cut:
@@ -97,9 +95,8 @@ def fit_frequency_shards(series: DataFrame, n: int, spec: Spec, shards: int, set
 
 def fit_regression_shards(series: DataFrame, n: int, spec: Spec, covariates: list[str], shards: int, settings: Settings, blocks: int | None = None, full: bool = False) -> Merged:
     """The same for a regression: all columns go through one transform."""
-    from spectrabrook.operators.timeindex import fft_blocks
-
-    joint = spectrum.fft(series, n, blocks or fft_blocks(n, 256), ["y", *covariates]).withColumn("omega", F.col("k") * F.lit(2 * np.pi / n)).cache()
+    columns = ["y", *covariates]
+    joint = (spectrum.fft(series, n, blocks, columns) if blocks else spectrum.transform(series, n, columns)).withColumn("omega", F.col("k") * F.lit(2 * np.pi / n)).cache()
     draws = sample_shards(spectrum.systematic(joint, shards), spec, shards, settings, n, covariates)
     whole = sample_shards(joint.withColumn("shard_id", F.lit(0)), spec, 1, settings, n, covariates) if full else None
     return merge(draws, spec, settings, whole)

@@ -232,3 +232,13 @@ def test_moments_that_do_not_settle_are_refused():
         kernels.quadrature_moments(lambda x: -abs(float(x[0])) ** 0.3 * 5, np.zeros(1), np.eye(1) * 0.01, orders=(3, 5))
     with pytest.raises(ValueError):
         kernels.shrink_covariance(np.random.default_rng(0).normal(size=(40, 3)), np.eye(3))
+
+
+@pytest.mark.parametrize("n", [300, 1500, 60_001])
+def test_mean_rule_integrates_the_kernel(n):
+    """Against the autocovariances' closed sum: var = (g0 + 2 sum (1 - h/n) g_h) / n, for an AR(1) of 0.9."""
+    w, weight = kernels.mean_rule(n)
+    f = np.exp(kernels.Whittle(Spec(ar=1), w).log_density(np.array([0.9, 0.0])))
+    h = np.arange(1, n)
+    want = (1 + 2 * ((1 - h / n) * 0.9**h).sum()) / (1 - 0.81) / n
+    assert len(w) <= 13_000 and (weight * f).sum() == pytest.approx(want, rel=1e-7)

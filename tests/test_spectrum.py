@@ -124,3 +124,40 @@ def test_streaming_ingest(spark, tmp_path):
     want = src.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).count()
     assert got.count() == got.select("hour").distinct().count() and last is not None
     assert got.join(want, "hour").filter("y <> count").isEmpty() and got.count() > 0
+
+
+@pytest.mark.parametrize("n", [719, 101, 64, 7])
+def test_chirp_transform_equals_numpy(spark, n):
+    rng = np.random.default_rng(n)
+    y, x = rng.normal(size=n), rng.normal(size=n)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, x, strict=True))], "t long, y double, x double")
+    got = spectrum.chirp_fft(df, n, 8, ["y", "x"]).toPandas().sort_values("k")
+    k = np.arange(1, (n - 1) // 2 + 1)
+    assert got["k"].tolist() == k.tolist()
+    for c, v in (("y", y), ("x", x)):
+        want = np.fft.fft(v)[k]
+        np.testing.assert_allclose(got[f"re_{c}"], want.real, rtol=1e-9, atol=1e-10)
+        np.testing.assert_allclose(got[f"im_{c}"], want.imag, rtol=1e-9, atol=1e-10)
+    with pytest.raises(Exception, match="lacks time index"):
+        spectrum.chirp_fft(df.filter("t <> 3"), n, 8).collect()
+
+
+def test_transform_picks_blocks_or_the_chirp(spark):
+    for n in (719, 720, 1000):
+        y = np.random.default_rng(n).normal(size=n)
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "t long, y double")
+        want = np.fft.fft(y)[1 : (n - 1) // 2 + 1]
+        for rows in (1 << 22, 100):
+            got = spectrum.transform(df, n, block_rows=50, task_rows=rows).toPandas().sort_values("k")
+            np.testing.assert_allclose(got["re_y"] + 1j * got["im_y"], want, rtol=1e-8, atol=1e-9)
+    assert [timeindex.divisor_blocks(n, 256) for n in (720, 7, 719, 1 << 20)] == [240, 7, 1, 256]
+
+
+def test_autocorrelation_across_blocks_and_gaps(spark):
+    y = np.random.default_rng(2).normal(size=500)
+    here = np.delete(np.arange(500), [3, 99, 100, 250])
+    df = spark.createDataFrame([(int(i), float(y[i])) for i in here], "t long, y double")
+    got = {r["lag"]: r["acf"] for r in spectrum.autocorrelation(df, 12, block_rows=40).collect()}
+    v = np.zeros(500)
+    v[here] = y[here] - y[here].mean()
+    assert got == pytest.approx({j: float(v[j:] @ v[: 500 - j]) / float(v @ v) for j in range(13)})
