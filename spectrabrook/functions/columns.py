@@ -77,15 +77,14 @@ def interval_score(actual: Column, lower: Column, upper: Column, alpha: float) -
     return upper - lower + (below + above) * (2 / alpha)
 
 
-def score_columns(actual: Column, point: Column, ordered: Column) -> dict[str, Column]:
-    """Scores of a forecast; null where the actual value is, while the forecast itself stays."""
-    lo95, lo80, hi80, hi95 = (array_quantile(ordered, p) for p in (0.025, 0.1, 0.9, 0.975))
+def scores_of(actual: Column, point: Column, sample_crps: Column, lo95: Column, lo80: Column, hi80: Column, hi95: Column) -> dict[str, Column]:
+    """Scores of a forecast from its CRPS and quantiles; null where the actual value is, while the forecast itself stays."""
     known = actual.isNotNull() & ~F.isnan(actual)
     only = lambda c: F.when(known, c)
     return {
         "ae": only(F.abs(point - actual)),
         "se": only(F.pow(point - actual, 2)),
-        "crps": only(crps(ordered, actual)),
+        "crps": only(sample_crps),
         "lower80": lo80,
         "upper80": hi80,
         "lower95": lo95,
@@ -95,3 +94,22 @@ def score_columns(actual: Column, point: Column, ordered: Column) -> dict[str, C
         "interval80": only(interval_score(actual, lo80, hi80, 0.2)),
         "interval95": only(interval_score(actual, lo95, hi95, 0.05)),
     }
+
+
+def score_columns(actual: Column, point: Column, ordered: Column) -> dict[str, Column]:
+    """Scores of a forecast whose draws are a sorted array."""
+    return scores_of(actual, point, crps(ordered, actual), *(array_quantile(ordered, p) for p in (0.025, 0.1, 0.9, 0.975)))
+
+
+def arma11_sums(q: Column, power: Column, phi: float, theta: float) -> dict[str, Column]:
+    """Energy of an ARMA(1,1) at (phi, theta) and its derivatives, as terms to add up over frequencies."""
+    ma, ar = (1 + theta) ** 2 - theta * q, (1 - phi) ** 2 + phi * q
+    dma, dar = 2 * (1 + theta) - q, q - 2 * (1 - phi)
+    return {
+        "energy": power * ar / ma,
+        "d_phi": power * dar / ma,
+        "d_theta": -power * ar * dma / (ma * ma),
+        "d_phi_phi": 2 * power / ma,
+        "d_phi_theta": -power * dar * dma / (ma * ma),
+        "d_theta_theta": power * ar * (2 * dma * dma / (ma * ma * ma) - 2 / (ma * ma)),
+    }

@@ -377,6 +377,62 @@ def fit_ar1(n: int, sum_power: float, sum_q_power: float) -> tuple[np.ndarray, n
     return np.array([np.tanh(x[0]), x[1]]), jac @ cov @ jac, dec
 
 
+def half_log_product(c: float, n: int) -> tuple[float, float, float]:
+    """sum of ln |1 - c e^{-iw}|^2 over the positive frequencies below pi of n points, with two derivatives in c.
+
+    All n roots of unity multiply to 1 - c^n; those at 0 and, if n is even, at
+    pi are taken off, and the rest come in conjugate pairs.
+    """
+    z = c**n
+    terms = [(2 * np.log1p(-z), -2 * n * z / c / (1 - z) if c else 0.0, -2 * n * ((n - 1) * z + z * z) / (c * (1 - z)) ** 2 if c else 0.0)]
+    terms.append((-2 * np.log1p(-c), 2 / (1 - c), 2 / (1 - c) ** 2))
+    if n % 2 == 0:
+        terms.append((-2 * np.log1p(c), -2 / (1 + c), 2 / (1 + c) ** 2))
+    return tuple(float(sum(t)) / 2 for t in zip(*terms, strict=True))
+
+
+def fit_arma11(sums: Callable[[float, float], dict[str, float]], n: int, start: tuple[float, float] = (0.1, -0.1), rounds: int = 60, enough: float = 1e-8) -> tuple[np.ndarray, np.ndarray, float]:
+    """MAP of an ARMA(1,1) from its energy sums: (phi, theta, log sigma2), covariance, Newton decrement.
+
+    sums(phi, theta) gives arma11_sums added up over the positive frequencies:
+    one aggregate for each step, however long the series. The logarithms need
+    none, they have closed forms; coefficients are uniform, log sigma2 is
+    standard normal. Steps are damped until the posterior rises.
+    """
+    m = (n - 1) // 2
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        phi, theta, s = x
+        e, (la, da, daa), (lm, dm, dmm) = sums(phi, theta), half_log_product(phi, n), half_log_product(-theta, n)
+        scale = 2 * np.pi * np.exp(-s)
+        value = m * (s - np.log(2 * np.pi)) + lm - la + scale * e["energy"] + s * s / 2
+        grad = np.array([scale * e["d_phi"] - da, scale * e["d_theta"] - dm, m - scale * e["energy"] + s])
+        cross = [-scale * e["d_phi"], -scale * e["d_theta"]]
+        hess = np.array([[scale * e["d_phi_phi"] - daa, scale * e["d_phi_theta"], cross[0]], [scale * e["d_phi_theta"], scale * e["d_theta_theta"] + dmm, cross[1]], [*cross, scale * e["energy"] + 1]])
+        return value, grad, hess
+
+    x = np.array([*start, 0.0])
+    x[2] = np.log(2 * np.pi * max(sums(*start)["energy"], 1e-300) / max(m, 1))
+    value, grad, hess = at(x)
+    for _ in range(rounds):
+        w, v = np.linalg.eigh(hess)
+        step = -v @ ((v.T @ grad) / np.maximum(np.abs(w), 1e-8))
+        decrement = float(-grad @ step)
+        if decrement <= enough:
+            break
+        size = 1.0
+        while (np.abs(x[:2] + size * step[:2]) >= 1).any():
+            size /= 2
+        while True:
+            trial = x + size * step
+            new = at(trial)
+            if new[0] <= value - 1e-4 * size * decrement or size < 1e-8:
+                break
+            size /= 2
+        x, (value, grad, hess) = trial, new
+    return x, np.linalg.inv(positive_definite(hess)), decrement
+
+
 def log_root_product(c: float, n: int, shards: int = 1, shard: int = 0) -> float:
     """sum of ln |1 - c e^{-iw}|^2 over one systematic shard of all n-th roots of unity, n divisible by shards."""
     m = n // shards

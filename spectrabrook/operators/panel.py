@@ -55,9 +55,12 @@ def changes(panel: DataFrame, value: str = "spread") -> DataFrame:
     return panel.withColumn("change", step)
 
 
-def observed_changes(panel: DataFrame, value: str = "spread") -> DataFrame:
+def observed_changes(panel: DataFrame, value: str = "spread", keep: Sequence[str] | None = None) -> DataFrame:
     """Changes between observed points, across gaps, with what each crosses: none, gap, lunch or date.
 
+    keep names the crossings to keep, the rest are excluded; by default all stay,
+    the first point of the table too, which has no change.
+
     The last point of every phase and day is found by aggregates, so that days
     are ordered among themselves only by their one row each.
     """
@@ -74,7 +77,8 @@ def observed_changes(panel: DataFrame, value: str = "spread") -> DataFrame:
         .otherwise("lunch")
     )
     change = F.log(value) - F.log(F.coalesce("prev", "prior_value"))
-    return rows.select("day_index", "phase", "second", change.alias("change"), kind.alias("boundary"))
+    found = rows.select("day_index", "phase", "second", change.alias("change"), kind.alias("boundary"))
+    return found if keep is None else found.filter(F.col("boundary").isin(list(keep)))
 
 
 def runs(panel: DataFrame, value: str = "spread") -> DataFrame:
@@ -154,6 +158,16 @@ def boundary_windows(panel: DataFrame, windows: dict[str, tuple[int, int]], leas
     return panel.groupBy("day_index").agg(*parts)
 
 
+def boundary_ratios(windows: DataFrame, opening: str = "opening", closing: str = "closing") -> DataFrame:
+    """day_index, within (log of a day's closing over its opening window) and overnight (log of its opening over the closing of the day before).
+
+    windows is boundary_windows()'s, one row a day; a ratio without both its
+    windows is null, and overnight pairs days that follow each other in the table.
+    """
+    prior = F.lag(closing).over(Window.orderBy("day_index"))
+    return windows.select("day_index", F.log(F.col(closing) / F.col(opening)).alias("within"), F.log(F.col(opening) / prior).alias("overnight"))
+
+
 def binned_level(panel: DataFrame, width: int = 300, phases: Sequence[Phase] = DAY, value: str = "spread") -> DataFrame:
     """Clock profile from bin means of logs, linear between bin centres and flat beyond the outer ones.
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectrabrook.functions.columns import score_columns
+from spectrabrook.functions.columns import score_columns, scores_of
+from spectrabrook.operators.quantiles import exact_quantiles
 
 
 def score_samples(forecasts: DataFrame) -> DataFrame:
@@ -16,6 +17,30 @@ def score_samples(forecasts: DataFrame) -> DataFrame:
     return ordered.withColumns(score_columns(F.col("actual"), F.col("prediction"), F.col("draws")))
 
 
+def score_rows(rows: DataFrame, keys: Sequence[str], value: str = "value", actual: str = "actual", prediction: str = "prediction") -> DataFrame:
+    """score_samples for draws that are rows: keys, actual, prediction and the scores of each group.
+
+    Ranks and counts in one sorted window give what an array of draws would, so
+    a group may hold any number of draws; null draws don't count.
+    """
+    whole = Window.partitionBy(*keys)
+    v, a = F.col("_v"), F.col("_a")
+    ranked = rows.select(*keys, F.col(value).cast("double").alias("_v"), F.col(actual).alias("_a"), F.col(prediction).alias("_p")).filter(F.col("_v").isNotNull())
+    ranked = ranked.withColumn("_i", F.row_number().over(whole.orderBy("_v"))).withColumn("_n", F.count(F.lit(1)).over(whole))
+
+    def quantile(p):
+        at = (F.col("_n") - 1) * F.lit(p)
+        low, high = (F.max(F.when(F.col("_i") == f(at) + 1, v)) for f in (F.floor, F.ceil))
+        return low + F.max(at - F.floor(at)) * (high - low)
+
+    n = F.max("_n").cast("double")
+    crps = F.sum(F.abs(v - a)) / n - F.sum((2 * F.col("_i") - F.col("_n") - 1) * v) / (n * n)
+    names = {"lo95": 0.025, "lo80": 0.1, "hi80": 0.9, "hi95": 0.975}
+    sums = ranked.groupBy(*keys).agg(F.max("_a").alias(actual), F.max("_p").alias(prediction), crps.alias("_crps"), *[quantile(p).alias(f"_{k}") for k, p in names.items()])
+    found = scores_of(F.col(actual), F.col(prediction), F.col("_crps"), *[F.col(f"_{k}") for k in names])
+    return sums.select(*keys, actual, prediction, *[c.alias(k) for k, c in found.items()])
+
+
 def window_reason(end: Column, context: int, horizon: int, lo: Column, hi: Column, past: Column, future: Column) -> Column:
     """Why a window can't be scored, in this order; null if it can. past and future count its usable values."""
     return F.when((end - context < lo) | (end + horizon > hi), "session_boundary").when(past < context, "missing_history").when(future < horizon, "missing_target")
@@ -172,9 +197,13 @@ def block_differences(daily: DataFrame, block: int = 5, replicates: int = 10_000
 
 
 def timing_table(times: DataFrame, *keys: str, seconds: str = "seconds") -> DataFrame:
-    """Median, quartiles and range of repeated timings."""
-    q = F.percentile(seconds, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = times.groupBy(*keys).agg(F.count(seconds).alias("runs"), q.alias("q"), F.min(seconds).alias("fastest"), F.max(seconds).alias("slowest"))
+    """Median, quartiles and range of repeated timings, exact for groups of any size."""
+    ends = times.groupBy(*keys).agg(F.count(seconds).alias("runs"), F.min(seconds).alias("fastest"), F.max(seconds).alias("slowest"))
+    q = exact_quantiles(times, keys, seconds, (0.25, 0.5, 0.75)).select(*[F.col(k).alias(f"_q_{k}") for k in keys], "q")
+    same = F.lit(True)
+    for k in keys:
+        same = same & ends[k].eqNullSafe(q[f"_q_{k}"])
+    out = ends.join(q, same, "left")
     return out.select(*keys, "runs", F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), "fastest", "slowest")
 
 

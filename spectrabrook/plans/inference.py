@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrabrook.functions import diagnostics, kernels
+from spectrabrook.functions.columns import arma11_sums
 from spectrabrook.functions.model import Settings, Spec
 from spectrabrook.operators import combine, diagnose, spectrum
 
@@ -176,3 +177,13 @@ def full_grid_start(frequencies: DataFrame, n: int) -> tuple[np.ndarray, np.ndar
     """AR(1) MAP of a whole series from one aggregate over its spectrum: theta, covariance, Newton decrement."""
     s = frequencies.filter(F.col("k") < n // 2).agg(F.sum("periodogram").alias("p"), F.sum(F.col("q") * F.col("periodogram")).alias("qp")).first()
     return kernels.fit_ar1(n, float(s["p"]), float(s["qp"]))
+
+
+def fit_arma11(frequencies: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """ARMA(1,1) MAP of a whole series, one aggregate over its spectrum for each Newton step; frequencies should be staged or cached."""
+    held = frequencies.filter(F.col("k") <= (n - 1) // 2)
+
+    def sums(phi: float, theta: float) -> dict[str, float]:
+        return held.agg(*[F.sum(c).alias(name) for name, c in arma11_sums(F.col("q"), F.col("periodogram"), phi, theta).items()]).first().asDict()
+
+    return kernels.fit_arma11(sums, n)

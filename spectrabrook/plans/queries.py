@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spectrabrook.functions.columns import spectral_density, whittle_term
+from spectrabrook.functions.columns import arma11_sums, spectral_density, whittle_term
 from spectrabrook.functions.model import Settings, Spec
 from spectrabrook.operators import combine, diagnose, panel, scores, spectrum, timeindex
 from spectrabrook.plans import experiment, forecast, inference, production
@@ -230,10 +230,7 @@ select round(sum(i * ar / ma), 5) as energy, round(sum(i * (q - 2 * (1 - 0.4)) /
 round(sum(-i * (q - 2 * (1 - 0.4)) * (2 * (1 + 0.3) - q) / (ma * ma)), 5) as d_phi_theta, round(sum(i * ar * (2 * pow(2 * (1 + 0.3) - q, 2) / pow(ma, 3) - 2 / (ma * ma))), 5) as d_theta_theta from s""")
 def arma11_energy_sums(spark, sf_dir):
     """Energy of ARMA(1,1) at (0.4, 0.3) and its derivatives: what a Newton step needs, in one aggregate."""
-    phi, theta, q, i = 0.4, 0.3, F.col("q"), F.col("periodogram")
-    ma, ar = (1 + theta) ** 2 - theta * q, (1 - phi) ** 2 + phi * q
-    dma, dar = 2 * (1 + theta) - q, q - 2 * (1 - phi)
-    parts = {"energy": i * ar / ma, "d_phi": i * dar / ma, "d_theta": -i * ar * dma / (ma * ma), "d_phi_phi": 2 * i / ma, "d_phi_theta": -i * dar * dma / (ma * ma), "d_theta_theta": i * ar * (2 * dma * dma / (ma * ma * ma) - 2 / (ma * ma))}
+    parts = arma11_sums(F.col("q"), F.col("periodogram"), 0.4, 0.3)
     return power(spark, sf_dir).agg(*[F.round(F.sum(v), 5).alias(k) for k, v in parts.items()])
 
 
@@ -348,6 +345,23 @@ def boundary_windows(spark, sf_dir):
     return w.select("day_index", F.round("opening", 9).alias("opening"), F.round("closing", 9).alias("closing"))
 
 
+@query(f"""with {PANEL}, w as (select day_index, avg(case when second < 24 then spread end) as o, count(case when second < 24 then spread end) as no, avg(case when second >= 264 then spread end) as c, count(case when second >= 264 then spread end) as nc from panel group by 1),
+r as (select day_index, case when no >= 2.4 then o end as o, case when nc >= 2.4 then c end as c from w)
+select day_index, round(ln(c / o), 9) as within, round(ln(o / lag(c) over (order by day_index)), 9) as overnight from r""")
+def boundary_ratios(spark, sf_dir):
+    w = panel.boundary_windows(event_panel(spark, sf_dir), {"opening": (0, 24), "closing": (264, 288)}, 0.1)
+    return panel.boundary_ratios(w).select("day_index", F.round("within", 9).alias("within"), F.round("overnight", 9).alias("overnight"))
+
+
+@query(f"""with {PANEL}, o as (select *, lag(spread) over g as p, lag(second) over g as ps, lag(day_index) over g as pd, lag(phase) over g as pp from panel window g as (order by day_index, second)),
+k as (select change, case when p is null then 'start' when pd <> day_index then 'date' when pp <> phase then 'lunch' when second - ps = 1 then 'none' else 'gap' end as boundary from (select *, ln(spread) - ln(p) as change from o))
+select boundary, count(*) as n, round(avg(change), 6) as mean, round(stddev_pop(change), 6) as sd from k where boundary in ('none', 'gap') group by 1""")
+def changes_policy(spark, sf_dir):
+    """Changes that cross no phase and no date, the policy that excludes boundaries."""
+    c = panel.observed_changes(event_panel(spark, sf_dir), keep=("none", "gap"))
+    return c.groupBy("boundary").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("change")).alias("mean"), r6(F.stddev_pop("change")).alias("sd"))
+
+
 @query(f"""with {PANEL}, m as (select phase, case phase when 'am' then 0 else 144 end as lo, cast(floor((second - case phase when 'am' then 0 else 144 end) / 12) as integer) as bin, avg(ln(spread)) as level from panel group by 1, 2, 3),
 c as (select phase, level, (lo + bin * 12 + lo + (bin + 1) * 12 - 1) / 2.0 as centre from m),
 n as (select phase, centre, level, lead(centre) over w as c1, lead(level) over w as l1, min(centre) over (partition by phase) as first from c window w as (partition by phase order by centre)),
@@ -598,8 +612,9 @@ round(hi80 - lo80 + 10 * (case when actual < lo80 then lo80 - actual else 0 end
 round(hi95 - lo95 + 40 * (case when actual < lo95 then lo95 - actual else 0 end + case when actual > hi95 then actual - hi95 else 0 end), 5) as interval95
 from s join c using (user_id)""")
 def crps_scores(spark, sf_dir):
-    f = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("value").alias("draws"), F.max_by("value", "event_id").alias("actual"), F.avg("value").alias("prediction"))
-    s = scores.score_samples(f)
+    of_user = Window.partitionBy("user_id")
+    f = table(spark, sf_dir, "events").select("user_id", "value", F.max_by("value", "event_id").over(of_user).alias("actual"), F.avg("value").over(of_user).alias("prediction"))
+    s = scores.score_rows(f, ["user_id"])
     return s.select("user_id", *[F.round(c, 5).alias(c) for c in ("ae", "crps", "lower80", "upper95")], "cover80", *[F.round(c, 5).alias(c) for c in ("interval80", "interval95")])
 
 
@@ -811,6 +826,14 @@ def history_spectrum(spark, sf_dir):
     return found.select("k", r6("omega").alias("omega"), r6("q").alias("q"), r6("periodogram").alias("periodogram"), F.round("re", 5).alias("re"), F.round("im", 5).alias("im"))
 
 
+@query()
+def arma11_map(spark, sf_dir):
+    found = power(spark, sf_dir).persist()  # half as many rows as the series has, read at each step
+    theta, cov, decrement = inference.fit_arma11(found, HOURS)
+    row = [float(theta[0]), float(theta[1]), float(np.exp(theta[2])), float(cov[0, 0] ** 0.5), float(cov[1, 1] ** 0.5), float(decrement)]
+    return spark.createDataFrame([row], "phi double, theta double, sigma2 double, phi_sd double, theta_sd double, newton_decrement double")
+
+
 @query()
 def ar1_map(spark, sf_dir):
     theta, cov, decrement = inference.full_grid_start(power(spark, sf_dir), HOURS)

@@ -129,11 +129,13 @@ def read_panel(spark: SparkSession, path: str, manifest: str | None = None) -> D
     return df
 
 
-def event_draws(events: DataFrame, most: int = 10_000) -> DataFrame:
+def event_draws(events: DataFrame, most: int = 10_000, run_rows: int = 1 << 20) -> DataFrame:
     """Events as draws: shard_id by type in order of name, draw by event_id from 0, theta the value and its logarithm.
 
     Events without a type are a type of their own; more than most types are refused.
-    The logarithm of zero is minus infinity, that of a negative value null.
+    The logarithm of zero is minus infinity, that of a negative value null. Ids are
+    cut into ranges of about run_rows events; a draw's number is its rank in its
+    range after the counts of the ranges before, so no task orders a whole type.
     """
     from pyspark.sql import Window
 
@@ -141,6 +143,13 @@ def event_draws(events: DataFrame, most: int = 10_000) -> DataFrame:
     if len(types) > most:
         raise ValueError(f"event_draws: more than {most} event types")
     ids = events.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(types)], "_type string, shard_id int")
-    draw = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
+    ends = events.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count(F.lit(1)).alias("n")).first()
     log = F.when(F.col("value") == 0, F.lit(float("-inf"))).otherwise(F.log("value"))
-    return events.withColumn("draw", draw.cast("long")).join(F.broadcast(ids), F.col("event_type").eqNullSafe(F.col("_type"))).select("shard_id", "draw", F.array(F.col("value"), log).alias("theta"))
+    width = max(1, -(-(int(ends["b"]) - int(ends["a"]) + 1) // max(1, int(ends["n"]) // run_rows))) if ends["a"] is not None else 1
+    run = F.coalesce(F.floor((F.col("event_id") - F.lit(ends["a"])) / width), F.lit(-1)).cast("long")
+    rows = events.join(F.broadcast(ids), F.col("event_type").eqNullSafe(F.col("_type"))).select("shard_id", run.alias("run"), "event_id", F.array(F.col("value"), log).alias("theta"))
+    sizes = rows.groupBy("shard_id", "run").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("shard_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard_id", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("shard_id", "run").orderBy("event_id")) - 1
+    return rows.withColumn("place", place).join(starts, ["shard_id", "run"]).select("shard_id", (F.col("start") + F.col("place")).cast("long").alias("draw"), "theta")

@@ -242,3 +242,35 @@ def test_mean_rule_integrates_the_kernel(n):
     h = np.arange(1, n)
     want = (1 + 2 * ((1 - h / n) * 0.9**h).sum()) / (1 - 0.81) / n
     assert len(w) <= 13_000 and (weight * f).sum() == pytest.approx(want, rel=1e-7)
+
+
+def test_half_log_products_and_their_derivatives():
+    for n in (8, 9, 64):
+        w = 2 * np.pi * np.arange(1, (n - 1) // 2 + 1) / n
+        f = lambda c, w=w: np.log(np.abs(1 - c * np.exp(-1j * w)) ** 2).sum()
+        for c in (-0.9, -0.2, 0.3, 0.95):
+            value, first, second = kernels.half_log_product(c, n)
+            h = 1e-4
+            assert value == pytest.approx(f(c), abs=1e-10)
+            assert first == pytest.approx((f(c + h) - f(c - h)) / (2 * h), rel=1e-5, abs=1e-5)
+            assert second == pytest.approx((f(c + h) - 2 * f(c) + f(c - h)) / h**2, rel=1e-3, abs=1e-3)
+
+
+def test_arma11_map_equals_the_general_fit():
+    n = 4097
+    w = 2 * np.pi * np.arange(1, (n - 1) // 2 + 1) / n
+    q = 4 * np.sin(w / 2) ** 2
+    f = 2.0 / (2 * np.pi) * np.abs(1 - 0.3 * np.exp(-1j * w)) ** 2 / np.abs(1 - 0.7 * np.exp(-1j * w)) ** 2
+    power = f * np.random.default_rng(3).exponential(size=len(w))
+
+    def sums(phi, theta):
+        ma, ar = (1 + theta) ** 2 - theta * q, (1 - phi) ** 2 + phi * q
+        dma, dar = 2 * (1 + theta) - q, q - 2 * (1 - phi)
+        parts = (power * ar / ma, power * dar / ma, -power * ar * dma / ma**2, 2 * power / ma, -power * dar * dma / ma**2, power * ar * (2 * dma**2 / ma**3 - 2 / ma**2))
+        return dict(zip(("energy", "d_phi", "d_theta", "d_phi_phi", "d_phi_theta", "d_theta_theta"), (float(p.sum()) for p in parts), strict=True))
+
+    theta, cov, decrement = kernels.fit_arma11(sums, n)
+    want = kernels.fit_map(kernels.Whittle(Spec(1, 1), w, power), Settings(seed=1), starts=3)
+    np.testing.assert_allclose(theta, want.theta, atol=2e-4)
+    np.testing.assert_allclose(np.sqrt(np.diag(cov)), np.sqrt(np.diag(want.covariance)), rtol=1e-2)
+    assert decrement <= 1e-8

@@ -290,3 +290,39 @@ def test_completeness_looks_at_ends_and_values(spark):
     assert state(good.withColumn("k", F.when(F.col("k") == 9, 12).otherwise(F.col("k")))) == [True, True, False]
     for bad in (0.0, float("inf"), float("nan")):
         assert state(good.withColumn("periodogram", F.when(F.col("k") == 2, bad).otherwise(1.0))) == [True, False, True]
+
+
+def test_exact_quantiles_equal_numpy_in_groups_of_any_shape(spark):
+    from spectrabrook.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(size=5000), "b": np.repeat([1.0, 2.0], 700), "c": np.array([3.5]), None: np.round(rng.exponential(size=900), 1)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.025, 0.5, 0.9, 1.0]
+    for accuracy in (10_000, 50):
+        got = {r["g"]: r["q"] for r in exact_quantiles(df, ["g"], "v", probs, accuracy).collect()}
+        assert set(got) == set(groups)
+        for g, x in groups.items():
+            np.testing.assert_allclose(got[g], np.quantile(x, probs), rtol=1e-12, err_msg=str(g))
+
+
+def test_ranked_scores_equal_those_of_arrays(spark):
+    rng = np.random.default_rng(3)
+    rows = [(u, float(v), a, 0.5) for u, a in ((1, 0.3), (2, None), (3, 9.0)) for v in rng.normal(size=40 + u)]
+    df = spark.createDataFrame(rows, "u int, value double, actual double, prediction double")
+    a = scores.score_rows(df, ["u"]).orderBy("u").toPandas()
+    b = scores.score_samples(df.groupBy("u", "actual", "prediction").agg(F.collect_list("value").alias("draws"))).orderBy("u").toPandas()
+    for c in ("ae", "se", "crps", "lower80", "upper80", "lower95", "upper95", "cover80", "cover95", "interval80", "interval95"):
+        np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), rtol=1e-10, err_msg=c)
+
+
+def test_draws_are_numbered_alike_in_runs_of_any_length(spark):
+    rows = [(int(i) * 7 % 1009, "abc"[i % 3], float(i + 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, value double")
+    key = lambda f: sorted((r["shard_id"], r["draw"], r["theta"][0]) for r in f.collect())
+    whole = key(series.event_draws(df))
+    assert key(series.event_draws(df, run_rows=10)) == whole
+    assert [d for s, d, _ in whole if s == 0] == list(range(100))
+    ordered = [v for i, t, v in sorted(rows) if t == "a"]
+    assert [v for s, _, v in whole if s == 0] == ordered

@@ -38,7 +38,7 @@ def test_query_matches_duckdb(spark, duck, name):
 
 #: Rows of the queries that SQL can't express, on the smallest tables: shards, draws, histories.
 ROWS = {
-    "ar1_map": 1, "audited_maps": 4, "block_sampling": 4, "dc_consensus_draws": 400, "dc_map_shards": 4, "dc_regression_draws": 400, "dc_time_segments": 400,
+    "ar1_map": 1, "arma11_map": 1, "audited_maps": 4, "block_sampling": 4, "dc_consensus_draws": 400, "dc_map_shards": 4, "dc_regression_draws": 400, "dc_time_segments": 400,
     "forecast_paths": 0, "kernel_product_draws": 200, "production_gates": 1, "split_rhat_ess": 8, "surrogate_draws": 300,
 }
 
