@@ -54,6 +54,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, a staged table, marked for broadcast if it has at most `most` rows; else it is joined by exchange."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 #: Paths staged since each open scope began.
 _SCOPES: list[list[str]] = []
 
@@ -82,7 +87,7 @@ def staged_tables(spark: SparkSession) -> Iterator[None]:
 
 
 #: Bytes of an Arrow batch of texts that goes to Python; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
