@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectrabrook.llm.common import ascii_lower, stage
+from spectrabrook.llm.common import ascii_lower, small, stage
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -79,8 +79,8 @@ def keep_distinct(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """The rows of docs that exact_dedup keeps, with all their columns, whatever their names."""
     mark = f"_d{uuid.uuid4().hex}"
     verdicts = stage(exact_dedup(docs, text, doc_id).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("kept").alias("_kept")), "exact-verdicts")
-    pairs = verdicts.groupBy("_id", "_digest").agg(F.max("_kept").alias("_any"), F.count(F.lit(1)).alias("_n"))
-    lost = pairs.filter(~F.col("_any")).select("_id", "_digest")
+    pairs = stage(verdicts.groupBy("_id", "_digest").agg(F.max("_kept").alias("_any"), F.count(F.lit(1)).alias("_n")).filter("not _any or _n > 1"), "exact-pairs")
+    lost = small(pairs.filter(~F.col("_any")).select("_id", "_digest"), 300_000)
     digest = F.sha2(ascii_lower(docs[text]), 256)
     stay = docs.join(lost, docs[doc_id].eqNullSafe(lost["_id"]) & (digest == lost["_digest"]), "left_anti")
     if not pairs.filter("_any and _n > 1").isEmpty():
