@@ -349,7 +349,10 @@ def encode_documents(docs: DataFrame, proto: bytes, text: str = "text", doc_id:
 
     proto is the content of the model file; tasks get it from the driver, so
     the file need not exist on executors. A null text is empty: begin and end
-    ids only. Rows repeat as in docs, and other columns are not read.
+    ids only; very long texts are encoded whole, a word at a time. Decoded text
+    comes from the bytes that each word's ids decode to, which joined are what
+    the whole sequence decodes to. Rows repeat as in docs; an empty table gives
+    an empty result, and other columns are not read.
     """
     small_batches(docs.sparkSession)
 

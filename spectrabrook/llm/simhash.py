@@ -211,7 +211,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     component_id is the smallest doc_id reached over links of at most budget
     differing bits, the row's own included. Rows without words have fingerprint
     zero and link like any other. Null texts count as empty; a row with a null
-    doc_id takes part, and its group's id is null only if all its ids are. An
+    doc_id takes part, and its group's id is null only if all its ids are. Rows
+    that repeat stay rows of their own; very long texts are hashed whole. An
     empty table gives an empty result; other columns of docs are not read.
     """
     fps = stage(fingerprints(docs, text, doc_id, words, key=True), "fingerprints")

@@ -97,7 +97,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     document; a piece may be shorter. Documents without such passages
     have no row. A passage that repeats only within its document doesn't count;
     rows that share a doc_id are one document, as are rows without one. Null
-    texts are empty and have no chunks; other columns are not read.
+    texts are empty and have no chunks; very long texts are chunked whole. An
+    empty table gives an empty result; other columns are not read.
     """
     found = stage(chunks(docs, text, doc_id, **how), "chunks")
     doc = F.coalesce("doc_id", F.lit(-(2**63)))

@@ -64,6 +64,25 @@ class Rows:
         return np.bincount(self.who, weight[self.flat], self.n)
 
 
+def nnpu_gradient(p: Rows, u: Rows, w: np.ndarray, prior: float) -> tuple[tuple[float, float], np.ndarray]:
+    """Both parts of the risk at weights w, the bias last, and the direction to step against.
+
+    While the second part is not negative that is the risk's gradient; below zero
+    it is minus the second part's.
+    """
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    gp, gu = p.dot(w[:-1]) + w[-1], u.dot(w[:-1]) + w[-1]
+    parts = float(prior * np.logaddexp(0, -gp).mean()), float(np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean())
+    # Derivatives of the parts with respect to the margins.
+    pos = -prior * sigmoid(-gp) / p.n
+    neg_u, neg_p = sigmoid(gu) / u.n, -prior * sigmoid(gp) / p.n
+    dp, du = (pos + neg_p, neg_u) if parts[1] >= 0 else (-neg_p, -neg_u)
+    grad = np.empty_like(w)
+    grad[:-1] = np.bincount(p.flat, dp[p.who], len(w) - 1) + np.bincount(u.flat, du[u.who], len(w) - 1)
+    grad[-1] = dp.sum() + du.sum()
+    return parts, grad
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, dims: int = DIMS, least_rows: int = 3, steps: int = 120, rate: float = 0.1, l1: float = 1e-4) -> tuple[np.ndarray, float]:
     """(weights, bias) by Adam on the non-negative risk; features in fewer than least_rows examples get none.
 
@@ -85,17 +104,9 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     w = np.zeros(len(used) + 1)
     w[-1] = base
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        gp, gu = p.dot(w[:-1]) + w[-1], u.dot(w[:-1]) + w[-1]
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        # Derivatives of the parts with respect to the margins.
-        pos = -prior * sigmoid(-gp) / p.n
-        neg_u, neg_p = sigmoid(gu) / u.n, -prior * sigmoid(gp) / p.n
-        dp, du = (pos + neg_p, neg_u) if negative >= 0 else (-neg_p, -neg_u)
-        grad = np.empty_like(w)
-        grad[:-1] = np.bincount(p.flat, dp[p.who], len(used)) + np.bincount(u.flat, du[u.who], len(used)) + l1
-        grad[-1] = dp.sum() + du.sum()
+        grad = nnpu_gradient(p, u, w, prior)[1]
+        grad[:-1] += l1
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         np.maximum(w[:-1], 0, out=w[:-1])
