@@ -202,7 +202,8 @@ def mixed_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sour
     keyed = planned.groupBy(F.col("doc_id").alias(one), F.col("source").alias(two), F.col("tie").alias(three)).agg(F.sum("times").alias(four), F.count(F.lit(1)).alias(five)).filter(F.col(four) > 0)
     taken = stage(keyed, "mix-taken")
     same = docs[doc_id].eqNullSafe(taken[one]) & docs[source].eqNullSafe(taken[two]) & (F.xxhash64(F.lit(seed), docs[doc_id], docs[text]) == taken[three])
-    joined = docs.join(taken, same)
+    # One row for almost every document: the same exchange at every size, rather than a broadcast while it is small.
+    joined = docs.join(taken.hint("merge"), same)
     times = F.col(four)
     if not taken.filter(F.col(five) > 1).isEmpty():
         at = F.row_number().over(Window.partitionBy(one, two, three).orderBy(F.lit(0)))
