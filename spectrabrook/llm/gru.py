@@ -16,47 +16,55 @@ f32 = np.float32
 
 
 class Lanes:
-    """Documents dealt to lanes, longest first; windows of steps with the state carried across."""
-
-    def __init__(self, docs: list[np.ndarray], lanes: int, steps: int, start: int):
-        self.docs, self.steps, self.start = docs, steps, start
-        self.order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        self.lanes = max(1, min(lanes, len(docs)))
-
-    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents dealt to lanes, longest first; windows of steps with the state carried across.
+
+    With `piece`, a longer document is dealt in pieces of so many symbols: each
+    starts afresh, after the symbol before it, so that one long document doesn't
+    leave the other lanes empty.
+    """
+
+    def __init__(self, docs: list[np.ndarray], lanes: int, steps: int, start: int, piece: int = 0):
+        self.steps, self.start = steps, start
+        self.text = np.concatenate(docs) if docs else np.zeros(0, np.int16)
+        size = np.array([len(d) for d in docs], np.int64)
+        first = np.cumsum(size) - size
+        parts = -(-size // piece) if piece else np.minimum(size, 1)
+        self.doc = np.repeat(np.arange(len(docs)), parts)
+        nth = np.arange(len(self.doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.at = first[self.doc] + nth * piece
+        self.end = first[self.doc] + (np.minimum(size[self.doc], (nth + 1) * piece) if piece else size[self.doc])
+        self.opens = nth == 0
+        order = np.argsort(self.at - self.end, kind="stable")
+        self.doc, self.at, self.end, self.opens = self.doc[order], self.at[order], self.end[order], self.opens[order]
+        self.lanes = max(1, lanes)
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """inputs, targets and mask (steps x lanes), which lanes start afresh, and each lane's document.
 
         Lanes that have run out are cut off, so late windows are narrow; the
         consumer keeps the state of the lanes named by the last array, `kept`.
         """
-        queue = iter(self.order)
-        doc = np.array([next(queue) for _ in range(self.lanes)]) if self.docs else np.zeros(0, np.int64)
-        at, fresh, kept = np.zeros(len(doc), np.int64), np.ones(len(doc), bool), np.arange(len(doc))
-        while len(doc):
-            given = np.full((self.steps, len(doc)), self.start, np.int32)
-            wanted = np.zeros((self.steps, len(doc)), np.int32)
-            mask = np.zeros((self.steps, len(doc)), bool)
-            for j, (d, a) in enumerate(zip(doc.tolist(), at.tolist(), strict=True)):
-                ids = self.docs[d]
-                part = ids[a : a + self.steps]
-                n = len(part)
-                wanted[:n, j], mask[:n, j] = part, True
-                if a:
-                    given[0, j] = ids[a - 1]
-                given[1:n, j] = part[:-1]
-            yield given, wanted, mask, fresh, doc, kept
-            at += self.steps
-            fresh = np.zeros(len(doc), bool)
-            keep = np.ones(len(doc), bool)
-            for j, d in enumerate(doc.tolist()):
-                if at[j] >= len(self.docs[d]):
-                    more = next(queue, None)
-                    if more is None:
-                        keep[j] = False
-                    else:
-                        doc[j], at[j], fresh[j] = more, 0, True
-            kept = np.flatnonzero(keep)
-            doc, at, fresh = doc[keep], at[keep], fresh[keep]
+        part = np.arange(min(self.lanes, len(self.doc)))
+        following = len(part)
+        at, fresh, kept = self.at[part], np.ones(len(part), bool), np.arange(len(part))
+        span = np.arange(self.steps)[:, None]
+        while len(part):
+            where = at + span
+            mask = where < self.end[part]
+            wanted = np.where(mask, self.text.take(where, mode="clip"), 0).astype(np.int64)
+            before = self.text.take(at - 1, mode="clip")
+            given = np.concatenate([np.where(fresh & self.opens[part], self.start, before)[None], wanted[:-1]])
+            given[1:][~mask[1:]] = self.start
+            yield given, wanted, mask, fresh, self.doc[part], kept
+            at = at + self.steps
+            done = np.flatnonzero(at >= self.end[part])
+            more = done[: len(self.doc) - following]
+            fresh = np.zeros(len(part), bool)
+            part[more] = np.arange(following, following + len(more))
+            at[more], fresh[more] = self.at[part[more]], True
+            following += len(more)
+            kept = np.delete(np.arange(len(part)), done[len(more) :])
+            part, at, fresh = part[kept], at[kept], fresh[kept]
 
 
 def initial(counts: np.ndarray, class_size: int, hidden: int = 32, seed: int = 0) -> dict[str, np.ndarray]:
@@ -78,31 +86,34 @@ def initial(counts: np.ndarray, class_size: int, hidden: int = 32, seed: int = 0
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return (np.tanh(x * f32(0.5)) + f32(1)) * f32(0.5)
-
-
-def _run(p: dict, given: np.ndarray, h: np.ndarray, back: bool = False):
-    """States before each step, (steps, lanes, hidden), and the last; with back also what the gradient needs."""
-    steps, hidden = len(given), h.shape[1]
-    a = p["table"].take(given, axis=0)
-    a += p["bias"]
+def _run(p: dict, given: np.ndarray, h: np.ndarray):
+    """States before each step and the last, (steps + 1, hidden, lanes); gates (z, r) and candidates of each step, and what r multiplies."""
+    steps, hidden = len(given), len(h)
+    # A sigmoid is a tanh of half the activation.
+    half = np.r_[np.full(2 * hidden, 0.5), np.ones(hidden)].astype(f32)
+    a = np.ascontiguousarray(((p["table"] + p["bias"]) * half).take(given, axis=0).transpose(0, 2, 1))
+    loop = np.ascontiguousarray((p["loop"] * half).T)
     states = np.empty((steps + 1, *h.shape), f32)
     states[0] = h
-    held = []
-    loop = p["loop"]
+    inner = np.empty((steps, *h.shape), f32)
     for t in range(steps):
-        g = h @ loop
-        x = a[t]
-        zr = _sigmoid(x[:, : 2 * hidden] + g[:, : 2 * hidden])
-        z, r = zr[:, :hidden], zr[:, hidden:]
-        gn = g[:, 2 * hidden :]
-        n = np.tanh(x[:, 2 * hidden :] + r * gn)
-        if back:
-            held.append((z, r, gn, n))
-        h = n + z * (h - n)
-        states[t + 1] = h
-    return states, held
+        h, zr, n, new = states[t], a[t, : 2 * hidden], a[t, 2 * hidden :], states[t + 1]
+        zr += loop[: 2 * hidden] @ h
+        np.tanh(zr, out=zr)
+        zr *= f32(0.5)
+        zr += f32(0.5)
+        np.matmul(loop[2 * hidden :], h, out=inner[t])
+        n += np.multiply(zr[hidden:], inner[t], out=new)
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=new)
+        new *= zr[:hidden]
+        new += n
+    return states, a, inner
+
+
+def _rows(x: np.ndarray) -> np.ndarray:
+    """(steps, features, lanes) as a row of features for each step and lane."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
 
 
 def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,13 +134,14 @@ def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return x[np.arange(len(x)), at] - np.log(total)
 
 
-def _by_class(target: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """An order that puts targets of a class side by side, the classes in it, and (class, begin, end) of each."""
-    cls = (target // size).astype(np.int16)
+def _by_class(wanted: np.ndarray, mask: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Cells of the mask with targets of a class side by side, their classes, and (class, begin, end) of each."""
+    cell = np.flatnonzero(mask)
+    cls = (wanted.ravel()[cell] // size).astype(np.int16)
     order = np.argsort(cls, kind="stable")
     cls = cls[order]
     edge = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1], True])
-    return order, cls, [(int(cls[a]), a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    return cell[order], cls, [(int(cls[a]), a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
 def log_likelihoods(p: dict, docs: list[np.ndarray], start: int, lanes: int = 320, steps: int = 56) -> np.ndarray:
@@ -138,15 +150,14 @@ def log_likelihoods(p: dict, docs: list[np.ndarray], start: int, lanes: int = 32
     hidden, size = p["loop"].shape[0], p["word_b"].shape[1]
     h = None
     for given, wanted, mask, fresh, doc, kept in Lanes(docs, lanes, steps, start):
-        h = np.zeros((len(doc), hidden), f32) if h is None else h[kept]
-        h[fresh] = 0
-        states, _ = _run(p, given, h)
+        h = np.zeros((hidden, len(doc)), f32) if h is None else h[:, kept]
+        h[:, fresh] = 0
+        states, _, _ = _run(p, given, h)
         h = states[-1]
         # The state that predicts a step's target is the one after its input.
-        target = wanted[mask]
-        order, cls, spans = _by_class(target, size)
-        x, who = states[1:][mask][order], np.broadcast_to(np.arange(len(doc)), mask.shape)[mask][order]
-        column = target[order] % size
+        cell, cls, spans = _by_class(wanted, mask, size)
+        x, who = _rows(states[1:]).take(cell, axis=0), cell % len(doc)
+        column = wanted.ravel()[cell] % size
         logp = _picked(x @ p["class_w"] + p["class_b"], cls).astype(np.float64)
         for c, lo, hi in spans:
             logp[lo:hi] += _picked(x[lo:hi] @ p["word_w"][c].T + p["word_b"][c], column[lo:hi])
@@ -154,7 +165,7 @@ def log_likelihoods(p: dict, docs: list[np.ndarray], start: int, lanes: int = 32
     return out
 
 
-def train(p: dict, docs: list[np.ndarray], start: int, lanes: int = 64, steps: int = 16, rate: float = 0.08, clip: float = 1.0) -> tuple[dict, int]:
+def train(p: dict, docs: list[np.ndarray], start: int, lanes: int = 64, steps: int = 16, rate: float = 0.08, clip: float = 1.0, piece: int = 1024) -> tuple[dict, int]:
     """One pass of truncated backpropagation with Adagrad over docs; new parameters, and tokens seen."""
     p = {k: v.copy() for k, v in p.items()}
     g2 = {k: np.full(v.shape, 1e-3, f32) for k, v in p.items()}
@@ -167,53 +178,53 @@ def train(p: dict, docs: list[np.ndarray], start: int, lanes: int = 64, steps: i
         g2[name][at] = acc
         p[name][at] -= f32(rate) * grad / np.sqrt(acc)
 
-    for given, wanted, mask, fresh, doc, kept in Lanes(docs, lanes, steps, start):
-        h = np.zeros((len(doc), hidden), f32) if h is None else h[kept]
-        h[fresh] = 0
-        states, held = _run(p, given, h, back=True)
+    for given, wanted, mask, fresh, doc, kept in Lanes(docs, lanes, steps, start, piece):
+        h = np.zeros((hidden, len(doc)), f32) if h is None else h[:, kept]
+        h[:, fresh] = 0
+        states, gates, inner = _run(p, given, h)
         h = states[-1].copy()
-        target = wanted[mask]
-        n = len(target)
+        cell, cls, spans = _by_class(wanted, mask, size)
+        n = len(cell)
         seen += n
         scale = f32(1 / np.sqrt(n))
-        order, cls, spans = _by_class(target, size)
-        x, column = states[1:][mask][order], target[order] % size
+        x, column = _rows(states[1:]).take(cell, axis=0), wanted.ravel()[cell] % size
         d, total = _exp(x @ p["class_w"] + p["class_b"])
         d *= (scale / total)[:, None]
         d[np.arange(n), cls] -= scale
         dx = d @ p["class_w"].T
-        grads = [("class_w", x.T @ d, ...), ("class_b", d.sum(0), ...)]
+        grads = [("class_w", x.T @ d, ...), ("class_b", np.ones(n, f32) @ d, ...)]
         word_w, word_b = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
         for c, lo, hi in spans:
             e, total = _exp(x[lo:hi] @ p["word_w"][c].T + p["word_b"][c])
             e *= (scale / total)[:, None]
             e[np.arange(hi - lo), column[lo:hi]] -= scale
             dx[lo:hi] += e @ p["word_w"][c]
-            word_w[c], word_b[c] = e.T @ x[lo:hi], e.sum(0)
+            word_w[c], word_b[c] = e.T @ x[lo:hi], np.ones(hi - lo, f32) @ e
         grads += [("word_w", word_w, ...), ("word_b", word_b, ...)]
-        back = np.empty_like(dx)
-        back[order] = dx
-        dh_out = np.zeros_like(states[1:])
-        dh_out[mask] = back
-        da = np.empty((len(given), len(doc), 3 * hidden), f32)
-        dloop = np.zeros_like(p["loop"])
+        dh_out = np.zeros((mask.size, hidden), f32)
+        dh_out[cell] = dx
+        dh_out = np.ascontiguousarray(dh_out.reshape(*mask.shape, hidden).transpose(0, 2, 1))
+        # What a state's gradient is multiplied by, for all steps at once.
+        z, r, nn = gates[:, :hidden], gates[:, hidden : 2 * hidden], gates[:, 2 * hidden :]
+        to_n, to_z, to_r = (1 - z) * (1 - nn * nn), (states[:-1] - nn) * z * (1 - z), inner * r * (1 - r)
+        dg, dn = np.empty_like(gates), np.empty_like(inner)
         dh = np.zeros_like(h)
         for t in range(len(given) - 1, -1, -1):
-            z, r, gn, nn = held[t]
-            dh = dh + dh_out[t]
-            was = states[t]
-            dn = dh * (1 - z) * (1 - nn * nn)
-            dz = dh * (was - nn) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            da[t, :, :hidden], da[t, :, hidden : 2 * hidden], da[t, :, 2 * hidden :] = dz, dr, dn
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            dloop += was.T @ dg
-            dh = dh * z + dg @ p["loop"].T
-        flat = da.reshape(-1, 3 * hidden)
-        rows, inverse = np.unique(given.ravel(), return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        dtable = np.add.reduceat(flat[order], np.searchsorted(inverse[order], np.arange(len(rows))), axis=0)
-        grads += [("table", dtable, rows), ("loop", dloop, ...), ("bias", flat.sum(0), ...)]
+            dh += dh_out[t]
+            now = dg[t]
+            np.multiply(dh, to_n[t], out=dn[t])
+            np.multiply(dh, to_z[t], out=now[:hidden])
+            np.multiply(dn[t], to_r[t], out=now[hidden : 2 * hidden])
+            np.multiply(dn[t], r[t], out=now[2 * hidden :])
+            dh *= z[t]
+            dh += p["loop"] @ now
+        dloop = _rows(states[:-1]).T @ _rows(dg)
+        dg[:, 2 * hidden :] = dn
+        flat = _rows(dg)
+        order = np.argsort(given.ravel().astype(np.int16), kind="stable")
+        rows, begins = np.unique(given.ravel()[order], return_index=True)
+        dtable = np.add.reduceat(flat.take(order, axis=0), begins, axis=0)
+        grads += [("table", dtable, rows), ("loop", dloop, ...), ("bias", np.ones(len(flat), f32) @ flat, ...)]
         for g in grads:
             step(*g)
     return p, seen

@@ -8,10 +8,10 @@ group a word has its smoothed share of the group's counts. So
 
     log p(word) = log p(symbol | text so far) [+ log share of the word in its group].
 
-The recurrent model (see ``gru``) is trained on one in ``one_in`` training
-documents, by hash, so its training text grows with the table. In each round
-every task trains on its share from the same parameters and Spark averages the
-results by tokens. Words too rare for the table that tasks hold (at most
+The recurrent model (see ``gru``) is trained on every training document, once,
+in one of several rounds by hash. In each round every task trains on its share
+from the same parameters and Spark averages the results by tokens. A caller who
+wants a quicker model of less text may train on one document in ``one_in``. Words too rare for the table that tasks hold (at most
 ``table_words`` entries) get their counts by an ordinary join.
 """
 
@@ -190,11 +190,11 @@ def train_round(spark, ids: DataFrame, p: dict[str, np.ndarray], start: int, tas
     size = _pack(p).size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = [np.frombuffer(x, np.int16).astype(np.int64) for b in batches for x in b.column(0).to_pylist()]
+        docs = [np.frombuffer(x, np.int16) for b in batches for x in b.column(0).to_pylist()]
         docs.sort(key=lambda d: (len(d), d.tobytes()))  # the same order whatever order rows arrived in
         if not docs:
             return
-        found, seen = gru.train(shared.value, docs, start, lanes=min(96, max(8, len(docs) // 8)))
+        found, seen = gru.train(shared.value, docs, start, lanes=min(384, max(8, sum(map(len, docs)) // 4096)))
         flat = _pack(found)
         parts = [flat[i : i + piece] for i in range(0, size, piece)]
         task = TaskContext.get().partitionId()
@@ -215,7 +215,7 @@ def train_round(spark, ids: DataFrame, p: dict[str, np.ndarray], start: int, tas
     return _unpack(flat, p)
 
 
-def score_documents(docs: DataFrame, trains: Column, text: str = "text", doc_id: str = "doc_id", one_in: int = 4, rounds: tuple[int, ...] = (0, 1, 2, 2), head: int = 1792, groups: int = 255, hidden: int = 24, table_words: int = 1 << 18, task_tokens: int = 400_000, seed: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, trains: Column, text: str = "text", doc_id: str = "doc_id", one_in: int = 1, rounds: tuple[int, ...] = (0, 1, 2, 2), head: int = 1792, groups: int = 255, hidden: int = 24, table_words: int = 1 << 18, task_tokens: int = 1_600_000, seed: int = 5) -> DataFrame:
     """One row per input row: doc_id, trains, n_tokens, n_known, train_tokens, base_score, score.
 
     trains is a condition on docs: the rows to learn from. Null texts count as
@@ -236,58 +236,55 @@ def score_documents(docs: DataFrame, trains: Column, text: str = "text", doc_id:
     train_tokens = int(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]) + training_docs
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(shared.value)
+        v = shared.value
+        look = Lookup(v)
+        end_base = np.log10(v.end_count + 0.1) - np.log10(v.total)
         for b in batches:
-            words = [tokens(t) for t in b.column(1).to_pylist()]
-            ids = [np.append(look.symbol[s], look.v.end).astype(np.int16) for s in look.slots(words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["key", "n", "ids"])
-
-    key = F.xxhash64(F.lit(seed), "doc_id", "text")
-    picked = learn.select(key.alias("key"), "text").filter(F.pmod("key", F.lit(one_in)) == 0)
-    sample = stage(picked.mapInArrow(encode, "key long, n long, ids binary"), "lm-train")
+            found = look.slots([tokens(t) for t in b.column(4).to_pylist()])
+            rare = [look.hash[s[look.tail[s]]] for s in found]
+            cols = [pa.array([len(s) + 1 for s in found], pa.int64()), pa.array([len(s) - len(r) + (v.end_count > 0) for s, r in zip(found, rare, strict=True)], pa.int64())]
+            cols += [pa.array([float(look.base[s].sum()) + end_base for s in found], pa.float64()), pa.array([float(look.share[s].sum()) for s in found], pa.float64())]
+            cols += [pa.array([np.append(look.symbol[s], v.end).astype(np.int16).tobytes() for s in found], pa.binary()), pa.array(rare, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *cols], names=["row", "key", "doc_id", "trains", "n_tokens", "n_known", "base", "share", "ids", "tail"])
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"), "doc_id", "trains", "text")
+    encoded = stage(numbered.mapInArrow(encode, "row long, key long, doc_id long, trains boolean, n_tokens long, n_known long, base double, share double, ids binary, tail array<long>"), "lm-encoded")
+    sample = encoded.filter(F.col("trains") & (F.pmod("key", F.lit(one_in)) == 0))
     of_round = F.array(*map(F.lit, rounds))[F.pmod(F.shiftrightunsigned("key", 20), F.lit(len(rounds))).cast("int")]
-    sizes = {r["r"]: r["n"] for r in sample.groupBy(of_round.alias("r")).agg(F.sum("n").alias("n")).collect()}
+    sizes = {r["r"]: r["n"] for r in sample.groupBy(of_round.alias("r")).agg(F.sum("n_tokens").alias("n")).collect()}
     p = gru.initial(v.symbol_counts, v.class_size, hidden, seed)
     for r in sorted(set(rounds)):
         if sizes.get(r):
             p = train_round(spark, sample.filter(of_round == r), p, v.end, task_tokens, int(sizes[r]))
-    model = spark.sparkContext.broadcast(p)
+    model, end = spark.sparkContext.broadcast(p), v.end
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, p = shared.value, model.value
-        look = Lookup(v)
-        names = ["row", "doc_id", "trains", "n_tokens", "n_known", "base", "score", "tail"]
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         ids: list[np.ndarray] = []
         size = 0
 
         def flush():
-            logp = gru.log_likelihoods(p, ids, v.end) / LN10
-            cols = list(zip(*held, strict=True))
-            cols[6] = np.array(cols[6]) + logp
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            logp, at = gru.log_likelihoods(model.value, ids, end) / LN10, 0
+            for b in held:
+                scores = b.column(6).to_numpy() + logp[at : at + b.num_rows]
+                at += b.num_rows
+                yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(scores)], names=["row", "doc_id", "trains", "n_tokens", "n_known", "base", "score"])
 
-        end_base = np.log10(v.end_count + 0.1) - np.log10(v.total)
         for b in batches:
-            words = [tokens(t) for t in b.column(2).to_pylist()]
-            for row, name, learns, w, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), words, look.slots(words), strict=True):
-                far = look.tail[s]
-                rare = look.hash[s[far]]
-                held.append((row, name, learns, len(w) + 1, len(w) - len(rare) + (v.end_count > 0), float(look.base[s].sum()) + end_base, float(look.share[s].sum()), rare))
-                ids.append(np.append(look.symbol[s], v.end).astype(np.int16))
-                size += len(w) + 1
+            new = [np.frombuffer(x, np.int16) for x in b.column(7).to_pylist()]
+            ids += new
+            size += sum(map(len, new))
+            held.append(b.select(range(7)))
             if size > 4_000_000:
-                yield flush()
+                yield from flush()
                 held, ids, size = [], [], 0
-        if held:
-            yield flush()
+        if ids:
+            yield from flush()
 
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "trains")
-    scored = stage(numbered.mapInArrow(score, "row long, doc_id long, trains boolean, n_tokens long, n_known long, base double, score double, tail array<long>"), "lm-scores")
-    rare = scored.select("row", F.explode("tail").alias("h")).join(tail, "h", "left")
+    scored = stage(encoded.select("row", "doc_id", "trains", "n_tokens", "n_known", "base", "share", "ids").mapInArrow(score, "row long, doc_id long, trains boolean, n_tokens long, n_known long, base double, score double"), "lm-scores")
+    rare = encoded.select("row", F.explode("tail").alias("h")).join(tail, "h", "left")
     more = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("log_c"), F.count("c").alias("known"))
-    done = scored.drop("tail").join(more, "row", "left")
+    done = scored.join(more, "row", "left")
     extra = F.coalesce("log_c", F.lit(0.0))
     return done.select("doc_id", "trains", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), (F.col("score") + extra).alias("score"))
 

@@ -400,6 +400,35 @@ def test_lm_learns_context(spark):
     assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got)
 
 
+def test_lm_trains_on_every_training_document(spark, monkeypatch):
+    """Training takes each token of every training document once, however rows fall into rounds and tasks."""
+    seen, train_round = [], lm.train_round
+
+    def watched(spark, ids, p, start, task_tokens, tokens_in_round):
+        seen.extend(len(r["ids"]) // 2 for r in ids.select("ids").collect())
+        return train_round(spark, ids, p, start, task_tokens, tokens_in_round)
+
+    monkeypatch.setattr(lm, "train_round", watched)
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.choice((0, 3, 40, 2500)))), "s") for i in range(80)]
+    got = lm.lm_scores(docs(spark, rows)).collect()
+    assert Counter(seen) == Counter(r["n_tokens"] for r in got if not r["held_out"])
+    assert sum(seen) == got[0]["train_tokens"]
+
+
+def test_lanes_deal_every_symbol_once_after_the_one_before_it():
+    rng = np.random.default_rng(7)
+    text = [rng.integers(1, 9, n) for n in (1, 4, 5, 16, 17, 0, 43, 3)]
+    for lanes, steps, piece in ((2, 4, 8), (3, 5, 8), (50, 4, 4), (2, 4, 0), (1, 100, 0)):
+        got, after = Counter(), Counter()
+        for given, wanted, mask, _, doc, _ in gru.Lanes(text, lanes, steps, 0, piece):
+            for k, j in zip(*np.nonzero(mask), strict=True):
+                got[doc[j], int(wanted[k, j])] += 1
+                after[doc[j], int(given[k, j]), int(wanted[k, j])] += 1
+        assert got == Counter((i, int(w)) for i, d in enumerate(text) for w in d)
+        assert after == Counter((i, int(a), int(w)) for i, d in enumerate(text) for a, w in zip(np.r_[0, d], d, strict=False))
+
+
 def test_gru_gradient_and_windows():
     rng = np.random.default_rng(0)
     p = gru.initial(np.arange(9, 0, -1.0), 3, hidden=4, seed=1)
