@@ -116,22 +116,31 @@ def _rows(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
 
 
-def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of each row and its sum. Logits are moderate; rows that overflow after all are shifted by their largest."""
+def _exp(x: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits x w + b, each row's sum, and each row's logit at one column. Logits are moderate; if any overflow after all, all are shifted by their row's largest."""
+    e = x @ w
+    e += b
+    rows = np.arange(len(e))
+    picked = e[rows, at]
     with np.errstate(over="ignore"):
-        e = np.exp(x)
-    total = e @ np.ones(x.shape[1], f32)
+        np.exp(e, out=e)
+    total = e @ np.ones(e.shape[1], f32)
     if not (np.isfinite(total) & (total > 0)).all():
-        x -= x.max(axis=1, keepdims=True)
-        e = np.exp(x)
-        total = e @ np.ones(x.shape[1], f32)
-    return e, total
-
-
-def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of each row at one column."""
-    _, total = _exp(x)
-    return x[np.arange(len(x)), at] - np.log(total)
+        e = x @ w + b
+        e -= e.max(axis=1, keepdims=True)
+        picked = e[rows, at]
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], f32)
+    return e, total, picked
+
+
+def _picked(x: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """Log softmax of the logits of each row at one column, a few rows at a time."""
+    out = np.empty(len(x), f32)
+    for i in range(0, len(x), rows):
+        _, total, picked = _exp(x[i : i + rows], w, b, at[i : i + rows])
+        out[i : i + rows] = picked - np.log(total)
+    return out
 
 
 def _by_class(wanted: np.ndarray, mask: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -158,9 +167,9 @@ def log_likelihoods(p: dict, docs: list[np.ndarray], start: int, lanes: int = 32
         cell, cls, spans = _by_class(wanted, mask, size)
         x, who = _rows(states[1:]).take(cell, axis=0), cell % len(doc)
         column = wanted.ravel()[cell] % size
-        logp = _picked(x @ p["class_w"] + p["class_b"], cls).astype(np.float64)
+        logp = _picked(x, p["class_w"], p["class_b"], cls).astype(np.float64)
         for c, lo, hi in spans:
-            logp[lo:hi] += _picked(x[lo:hi] @ p["word_w"][c].T + p["word_b"][c], column[lo:hi])
+            logp[lo:hi] += _picked(x[lo:hi], p["word_w"][c].T, p["word_b"][c], column[lo:hi])
         np.add.at(out, doc, np.bincount(who, logp, len(doc)))
     return out
 
@@ -188,14 +197,14 @@ def train(p: dict, docs: list[np.ndarray], start: int, lanes: int = 64, steps: i
         seen += n
         scale = f32(1 / np.sqrt(n))
         x, column = _rows(states[1:]).take(cell, axis=0), wanted.ravel()[cell] % size
-        d, total = _exp(x @ p["class_w"] + p["class_b"])
+        d, total, _ = _exp(x, p["class_w"], p["class_b"], cls)
         d *= (scale / total)[:, None]
         d[np.arange(n), cls] -= scale
         dx = d @ p["class_w"].T
         grads = [("class_w", x.T @ d, ...), ("class_b", np.ones(n, f32) @ d, ...)]
         word_w, word_b = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
         for c, lo, hi in spans:
-            e, total = _exp(x[lo:hi] @ p["word_w"][c].T + p["word_b"][c])
+            e, total, _ = _exp(x[lo:hi], p["word_w"][c].T, p["word_b"][c], column[lo:hi])
             e *= (scale / total)[:, None]
             e[np.arange(hi - lo), column[lo:hi]] -= scale
             dx[lo:hi] += e @ p["word_w"][c]
@@ -204,19 +213,26 @@ def train(p: dict, docs: list[np.ndarray], start: int, lanes: int = 64, steps: i
         dh_out = np.zeros((mask.size, hidden), f32)
         dh_out[cell] = dx
         dh_out = np.ascontiguousarray(dh_out.reshape(*mask.shape, hidden).transpose(0, 2, 1))
-        # What a state's gradient is multiplied by, for all steps at once.
-        z, r, nn = gates[:, :hidden], gates[:, hidden : 2 * hidden], gates[:, 2 * hidden :]
-        to_n, to_z, to_r = (1 - z) * (1 - nn * nn), (states[:-1] - nn) * z * (1 - z), inner * r * (1 - r)
         dg, dn = np.empty_like(gates), np.empty_like(inner)
         dh = np.zeros_like(h)
         for t in range(len(given) - 1, -1, -1):
             dh += dh_out[t]
-            now = dg[t]
-            np.multiply(dh, to_n[t], out=dn[t])
-            np.multiply(dh, to_z[t], out=now[:hidden])
-            np.multiply(dn[t], to_r[t], out=now[hidden : 2 * hidden])
-            np.multiply(dn[t], r[t], out=now[2 * hidden :])
-            dh *= z[t]
+            z, r, nn, now = gates[t, :hidden], gates[t, hidden : 2 * hidden], gates[t, 2 * hidden :], dg[t]
+            dz, dr, to_n = now[:hidden], now[hidden : 2 * hidden], dn[t]
+            keep = 1 - z
+            np.subtract(states[t], nn, out=dz)
+            dz *= z
+            dz *= keep
+            dz *= dh
+            np.multiply(nn, nn, out=to_n)
+            np.subtract(1, to_n, out=to_n)
+            to_n *= keep
+            to_n *= dh
+            np.multiply(to_n, r, out=now[2 * hidden :])
+            np.subtract(1, r, out=dr)
+            dr *= inner[t]
+            dr *= now[2 * hidden :]
+            dh *= z
             dh += p["loop"] @ now
         dloop = _rows(states[:-1]).T @ _rows(dg)
         dg[:, 2 * hidden :] = dn

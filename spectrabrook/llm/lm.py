@@ -194,7 +194,7 @@ def train_round(spark, ids: DataFrame, p: dict[str, np.ndarray], start: int, tas
         docs.sort(key=lambda d: (len(d), d.tobytes()))  # the same order whatever order rows arrived in
         if not docs:
             return
-        found, seen = gru.train(shared.value, docs, start, lanes=min(384, max(8, sum(map(len, docs)) // 4096)))
+        found, seen = gru.train(shared.value, docs, start, lanes=min(576, max(8, sum(map(len, docs)) // 4096)))
         flat = _pack(found)
         parts = [flat[i : i + piece] for i in range(0, size, piece)]
         task = TaskContext.get().partitionId()
@@ -215,7 +215,7 @@ def train_round(spark, ids: DataFrame, p: dict[str, np.ndarray], start: int, tas
     return _unpack(flat, p)
 
 
-def score_documents(docs: DataFrame, trains: Column, text: str = "text", doc_id: str = "doc_id", one_in: int = 1, rounds: tuple[int, ...] = (0, 1, 2, 2), head: int = 1792, groups: int = 255, hidden: int = 24, table_words: int = 1 << 18, task_tokens: int = 1_600_000, seed: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, trains: Column, text: str = "text", doc_id: str = "doc_id", one_in: int = 1, rounds: tuple[int, ...] = (0, 1, 2, 2), head: int = 1792, groups: int = 255, hidden: int = 24, table_words: int = 1 << 18, task_tokens: int = 2_400_000, seed: int = 5) -> DataFrame:
     """One row per input row: doc_id, trains, n_tokens, n_known, train_tokens, base_score, score.
 
     trains is a condition on docs: the rows to learn from. Null texts count as
