@@ -95,6 +95,23 @@ def test_near_copies_match_brute_force(spark):
     assert corpus_pipeline.near_copies(spark, df.limit(0), SF).count() == 0
 
 
+def test_equal_words_are_one_shingle_from_five_words_on(spark):
+    rows = [(n, " ".join(["w"] * n)) for n in range(1, 9)] + [(20, "a b c d e"), (21, "a b c d e a b c d")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, SF).collect()) == [1, 2, 3, 4, 5, 20, 21]
+
+
+def test_one_text_of_a_repeated_doc_id_stays(spark):
+    text = [f"w{i}" for i in range(60)]
+    near = [" ".join(text), " ".join([*text, "x"]), " ".join([*text, "y"])]
+    other = [" ".join(f"v{i}" for i in range(50)), " ".join(f"v{i}" for i in range(51))]
+    rows = [(7, t) for t in near] + [(9, near[0]), (None, near[1])] + [(None, t) for t in other]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, df, SF).collect()]
+    assert sorted((i for i, _ in kept), key=str) == [7, None]
+    assert all(t in (near if i else other) for i, t in kept)
+
+
 def test_signatures_bound_the_difference_and_votes_match_the_rule():
     rng = np.random.default_rng(3)
     for n in (1, 5, 40, 900):
