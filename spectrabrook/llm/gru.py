@@ -89,19 +89,20 @@ def initial(counts: np.ndarray, class_size: int, hidden: int = 32, seed: int = 0
 def _run(p: dict, given: np.ndarray, h: np.ndarray):
     """States before each step and the last, (steps + 1, hidden, lanes); gates (z, r) and candidates of each step, and what r multiplies."""
     steps, hidden = len(given), len(h)
-    # A sigmoid is a tanh of half the activation.
-    half = np.r_[np.full(2 * hidden, 0.5), np.ones(hidden)].astype(f32)
-    a = np.ascontiguousarray(((p["table"] + p["bias"]) * half).take(given, axis=0).transpose(0, 2, 1))
-    loop = np.ascontiguousarray((p["loop"] * half).T)
+    # A sigmoid is 1 / (1 + exp(-activation)).
+    sign = np.r_[np.full(2 * hidden, -1), np.ones(hidden)].astype(f32)
+    a = np.ascontiguousarray(((p["table"] + p["bias"]) * sign).take(given, axis=0).transpose(0, 2, 1))
+    loop = np.ascontiguousarray((p["loop"] * sign).T)
     states = np.empty((steps + 1, *h.shape), f32)
     states[0] = h
     inner = np.empty((steps, *h.shape), f32)
     for t in range(steps):
         h, zr, n, new = states[t], a[t, : 2 * hidden], a[t, 2 * hidden :], states[t + 1]
         zr += loop[: 2 * hidden] @ h
-        np.tanh(zr, out=zr)
-        zr *= f32(0.5)
-        zr += f32(0.5)
+        with np.errstate(over="ignore"):
+            np.exp(zr, out=zr)
+        zr += f32(1)
+        np.divide(f32(1), zr, out=zr)
         np.matmul(loop[2 * hidden :], h, out=inner[t])
         n += np.multiply(zr[hidden:], inner[t], out=new)
         np.tanh(n, out=n)
@@ -111,38 +112,40 @@ def _run(p: dict, given: np.ndarray, h: np.ndarray):
     return states, a, inner
 
 
-def _rows(x: np.ndarray) -> np.ndarray:
-    """(steps, features, lanes) as a row of features for each step and lane."""
-    return np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
+def _rows(x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """(steps, features, lanes) as a row of features, and a one for the biases, for each cell of step and lane."""
+    flat = np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
+    out = np.ones((len(cell), x.shape[1] + 1), f32)
+    out[:, :-1] = flat.take(cell, axis=0)
+    return out
 
 
-def _exp(x: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """exp of the logits x w + b, each row's sum, and each row's logit at one column. Logits are moderate; if any overflow after all, all are shifted by their row's largest."""
-    e = x @ w
-    e += b
-    rows = np.arange(len(e))
-    picked = e[rows, at]
-    with np.errstate(over="ignore"):
-        np.exp(e, out=e)
-    total = e @ np.ones(e.shape[1], f32)
-    if not (np.isfinite(total) & (total > 0)).all():
-        e = x @ w + b
+def _moderate(e: np.ndarray) -> np.ndarray:
+    """Logits whose exp neither overflows nor is zero in a whole row: if any are large, all are shifted by their row's largest, in place."""
+    if e.size and not (e.max() < 80 and e.min() > -80):
         e -= e.max(axis=1, keepdims=True)
-        picked = e[rows, at]
-        np.exp(e, out=e)
-        total = e @ np.ones(e.shape[1], f32)
-    return e, total, picked
+    return e
 
 
-def _picked(x: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, rows: int = 2048) -> np.ndarray:
-    """Log softmax of the logits of each row at one column, a few rows at a time."""
-    out = np.empty(len(x), f32)
-    for i in range(0, len(x), rows):
-        _, total, picked = _exp(x[i : i + rows], w, b, at[i : i + rows])
-        out[i : i + rows] = picked - np.log(total)
+def _picked(e: np.ndarray, at: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """Log softmax of each row of logits at one column, a few rows at a time; e is overwritten."""
+    out, ones = np.empty(len(e), f32), np.ones(e.shape[1], f32)
+    for i in range(0, len(e), rows):
+        part = _moderate(e[i : i + rows])
+        picked = part[np.arange(len(part)), at[i : i + rows]]
+        np.exp(part, out=part)
+        out[i : i + rows] = picked - np.log(part @ ones)
     return out
 
 
+def _by_word(x: np.ndarray, word: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Logits inside the class of each span."""
+    e = np.empty((len(x), word.shape[1]), f32)
+    for c, lo, hi in spans:
+        np.matmul(x[lo:hi], word[c].T, out=e[lo:hi])
+    return e
+
+
 def _by_class(wanted: np.ndarray, mask: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """Cells of the mask with targets of a class side by side, their classes, and (class, begin, end) of each."""
     cell = np.flatnonzero(mask)
@@ -157,6 +160,7 @@ def log_likelihoods(p: dict, docs: list[np.ndarray], start: int, lanes: int = 32
     """Natural log-probability of each document, the state carried from window to window."""
     out = np.zeros(len(docs))
     hidden, size = p["loop"].shape[0], p["word_b"].shape[1]
+    classes, word = np.vstack([p["class_w"], p["class_b"]]), np.concatenate([p["word_w"], p["word_b"][:, :, None]], axis=2)
     h = None
     for given, wanted, mask, fresh, doc, kept in Lanes(docs, lanes, steps, start):
         h = np.zeros((hidden, len(doc)), f32) if h is None else h[:, kept]
@@ -165,11 +169,10 @@ def log_likelihoods(p: dict, docs: list[np.ndarray], start: int, lanes: int = 32
         h = states[-1]
         # The state that predicts a step's target is the one after its input.
         cell, cls, spans = _by_class(wanted, mask, size)
-        x, who = _rows(states[1:]).take(cell, axis=0), cell % len(doc)
+        x, who = _rows(states[1:], cell), cell % len(doc)
         column = wanted.ravel()[cell] % size
-        logp = _picked(x, p["class_w"], p["class_b"], cls).astype(np.float64)
-        for c, lo, hi in spans:
-            logp[lo:hi] += _picked(x[lo:hi], p["word_w"][c].T, p["word_b"][c], column[lo:hi])
+        logp = _picked(x @ classes, cls).astype(np.float64)
+        logp += _picked(_by_word(x, word, spans), column)
         np.add.at(out, doc, np.bincount(who, logp, len(doc)))
     return out
 
@@ -181,11 +184,10 @@ def train(p: dict, docs: list[np.ndarray], start: int, lanes: int = 64, steps: i
     hidden, size = p["loop"].shape[0], p["word_b"].shape[1]
     h, seen = None, 0
 
-    def step(name: str, grad: np.ndarray, at=...) -> None:
-        np.clip(grad, -clip, clip, out=grad)
-        acc = g2[name][at] + grad * grad
-        g2[name][at] = acc
-        p[name][at] -= f32(rate) * grad / np.sqrt(acc)
+    def step(name: str, grad: np.ndarray) -> None:
+        grad = np.clip(grad, -clip, clip)
+        g2[name] += grad * grad
+        p[name] -= f32(rate) * grad / np.sqrt(g2[name])
 
     for given, wanted, mask, fresh, doc, kept in Lanes(docs, lanes, steps, start, piece):
         h = np.zeros((hidden, len(doc)), f32) if h is None else h[:, kept]
@@ -196,20 +198,23 @@ def train(p: dict, docs: list[np.ndarray], start: int, lanes: int = 64, steps: i
         n = len(cell)
         seen += n
         scale = f32(1 / np.sqrt(n))
-        x, column = _rows(states[1:]).take(cell, axis=0), wanted.ravel()[cell] % size
-        d, total, _ = _exp(x, p["class_w"], p["class_b"], cls)
-        d *= (scale / total)[:, None]
-        d[np.arange(n), cls] -= scale
-        dx = d @ p["class_w"].T
-        grads = [("class_w", x.T @ d, ...), ("class_b", np.ones(n, f32) @ d, ...)]
-        word_w, word_b = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
+        x, column, row = _rows(states[1:], cell), wanted.ravel()[cell] % size, np.arange(n)
+        d = _moderate(x @ np.vstack([p["class_w"], p["class_b"]]))
+        np.exp(d, out=d)
+        d *= (scale / (d @ np.ones(d.shape[1], f32)))[:, None]
+        d[row, cls] -= scale
+        dx, dclass = d @ p["class_w"].T, x.T @ d
+        grads = [("class_w", dclass[:-1]), ("class_b", dclass[-1])]
+        word = np.concatenate([p["word_w"], p["word_b"][:, :, None]], axis=2)
+        e = _moderate(_by_word(x, word, spans))
+        np.exp(e, out=e)
+        e *= (scale / (e @ np.ones(size, f32)))[:, None]
+        e[row, column] -= scale
+        dword = np.zeros_like(word)
         for c, lo, hi in spans:
-            e, total, _ = _exp(x[lo:hi], p["word_w"][c].T, p["word_b"][c], column[lo:hi])
-            e *= (scale / total)[:, None]
-            e[np.arange(hi - lo), column[lo:hi]] -= scale
-            dx[lo:hi] += e @ p["word_w"][c]
-            word_w[c], word_b[c] = e.T @ x[lo:hi], np.ones(hi - lo, f32) @ e
-        grads += [("word_w", word_w, ...), ("word_b", word_b, ...)]
+            dx[lo:hi] += e[lo:hi] @ p["word_w"][c]
+            np.matmul(e[lo:hi].T, x[lo:hi], out=dword[c])
+        grads += [("word_w", dword[:, :, :-1]), ("word_b", dword[:, :, -1])]
         dh_out = np.zeros((mask.size, hidden), f32)
         dh_out[cell] = dx
         dh_out = np.ascontiguousarray(dh_out.reshape(*mask.shape, hidden).transpose(0, 2, 1))
@@ -234,13 +239,11 @@ def train(p: dict, docs: list[np.ndarray], start: int, lanes: int = 64, steps: i
             dr *= now[2 * hidden :]
             dh *= z
             dh += p["loop"] @ now
-        dloop = _rows(states[:-1]).T @ _rows(dg)
+        dloop = np.matmul(dg, states[:-1].transpose(0, 2, 1)).sum(axis=0).T
         dg[:, 2 * hidden :] = dn
-        flat = _rows(dg)
-        order = np.argsort(given.ravel().astype(np.int16), kind="stable")
-        rows, begins = np.unique(given.ravel()[order], return_index=True)
-        dtable = np.add.reduceat(flat.take(order, axis=0), begins, axis=0)
-        grads += [("table", dtable, rows), ("loop", dloop, ...), ("bias", np.ones(len(flat), f32) @ flat, ...)]
+        symbol, many = given.ravel(), len(p["table"])
+        dtable = np.stack([np.bincount(symbol, dg[:, k].ravel(), many) for k in range(3 * hidden)], axis=1).astype(f32)
+        grads += [("table", dtable), ("loop", dloop), ("bias", dtable.sum(axis=0))]
         for g in grads:
             step(*g)
     return p, seen

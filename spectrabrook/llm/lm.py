@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
 
@@ -42,14 +42,13 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def word_hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >= 1 << 63 else h
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64).view(np.int64)
 
 
-def group_of(word: bytes, groups: int) -> int:
-    """A rare word's group: by its last three bytes."""
-    return zlib.crc32(word[-3:]) % groups
+def groups_of(words: Iterable[bytes], groups: int) -> np.ndarray:
+    """Rare words' groups: by their last three bytes."""
+    return np.fromiter((zlib.crc32(w[-3:]) for w in words), np.int64) % groups
 
 
 @dataclass
@@ -79,7 +78,7 @@ def count_words(docs: DataFrame, text: str, groups: int, flush: int = 200_000) -
         seen: Counter[bytes] = Counter()
 
         def emit():
-            cols = [pa.array([word_hash(w) for w in seen], pa.int64()), pa.array([group_of(w, groups) for w in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())]
+            cols = [pa.array(word_hashes(seen)), pa.array(groups_of(seen, groups).astype(np.int32)), pa.array(list(seen.values()), pa.int64())]
             seen.clear()
             return pa.RecordBatch.from_arrays(cols, names=["h", "g", "c"])
 
@@ -138,6 +137,7 @@ class Lookup:
 
     def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
+        # Longer than the words known, by up to a factor of two.
         self.symbol = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.int64)
         self.tail = np.zeros(0, bool)
@@ -146,17 +146,19 @@ class Lookup:
     def _learn(self, words: list[bytes]) -> None:
         v, first = self.v, len(self.slot)
         self.slot.update(zip(words, range(first, first + len(words)), strict=True))
-        h = np.array([word_hash(w) for w in words], np.int64)
-        g = np.array([group_of(w, v.groups) for w in words], np.int64)
+        h, g = word_hashes(words), groups_of(words, v.groups)
         at = np.minimum(np.searchsorted(v.hashes, h), max(len(v.hashes) - 1, 0))
         hit = v.hashes[at] == h if len(v.hashes) else np.zeros(len(h), bool)
         sym = np.where(hit, v.symbols[at], -1) if len(v.hashes) else np.full(len(h), -1)
         logc = np.log10(np.where(hit, v.counts[at], 0) + 0.1) if len(v.hashes) else np.zeros(len(h))
         logc = np.where(hit, logc, 0.0)  # a tail word's comes by the join
-        self.symbol = np.r_[self.symbol, np.where(sym >= 0, sym, v.group_symbol[g])]
-        self.hash, self.tail = np.r_[self.hash, h], np.r_[self.tail, ~hit]
-        self.base = np.r_[self.base, logc - np.log10(v.total)]
-        self.share = np.r_[self.share, np.where(sym >= 0, 0.0, logc - np.log10(v.group_total[g]))]
+        new = {"symbol": np.where(sym >= 0, sym, v.group_symbol[g]), "hash": h, "tail": ~hit, "base": logc - np.log10(v.total), "share": np.where(sym >= 0, 0.0, logc - np.log10(v.group_total[g]))}
+        for name, x in new.items():
+            held = getattr(self, name)
+            if len(self.slot) > len(held):
+                held = np.concatenate([held[:first], np.zeros(2 * len(self.slot) - first, held.dtype)])
+                setattr(self, name, held)
+            held[first : first + len(x)] = x
 
     def slots(self, docs: list[list[bytes]]) -> list[np.ndarray]:
         """For each document the slot of each word; words not seen before are learnt on the way."""

@@ -445,6 +445,42 @@ def test_gru_gradient_and_windows():
     assert seen == 20 * sum(map(len, text)) and gru.log_likelihoods(better, text, 0).sum() > whole.sum()
 
 
+def test_gru_logits_by_class_and_their_log_softmax():
+    """Rows of all classes side by side, a few at a time, moderate logits and such whose exp overflows."""
+    rng = np.random.default_rng(8)
+    wanted, mask = rng.integers(0, 12, (6, 5)), rng.random((6, 5)) < 0.8
+    cell, cls, spans = gru._by_class(wanted, mask, 4)
+    states = rng.normal(0, 1, (6, 3, 5)).astype(np.float32)
+    x = gru._rows(states, cell)
+    assert (x == [[*states[c // 5, :, c % 5], 1] for c in cell]).all()
+    for size in (1, 300):
+        word = rng.normal(0, size, (3, 4, 4)).astype(np.float32)
+        plain = np.array([word[c].astype(float) @ r for c, r in zip(cls, x, strict=True)])
+        column = wanted.ravel()[cell] % 4
+        got = gru._picked(gru._by_word(x, word, spans), column, rows=7)
+        top = plain.max(axis=1)
+        want = plain[np.arange(len(cell)), column] - top - np.log(np.exp(plain - top[:, None]).sum(axis=1))
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_lookup_learns_words_of_many_batches():
+    counts = {b"w%d" % i: 3 + i % 5 for i in range(50)}
+    h = lm.word_hashes(counts)
+    order = np.argsort(h)
+    v = lm.Vocabulary(7, h[order], np.array(list(counts.values()))[order], np.where(np.arange(50) < 9, np.arange(50), -1)[order], np.arange(9, 16), np.arange(1.0, 8.0), 16, 4, 300.0, np.ones(17))
+    look = lm.Lookup(v)
+    for k in range(40):
+        words = [b"w%d" % i for i in range(max(0, 2 * k - 5), 2 * k + 3)]
+        (found,) = look.slots([words])
+        known = np.array([w in counts for w in words])
+        group = [zlib.crc32(w[-3:]) % 7 for w in words]
+        assert (look.hash[found] == lm.word_hashes(words)).all() and (look.tail[found] == ~known).all()
+        assert list(look.symbol[found]) == [int(w[1:]) if int(w[1:]) < 9 else 9 + g for w, g in zip(words, group, strict=True)]
+        log_c = np.array([np.log10(counts[w] + 0.1) if w in counts else 0 for w in words])
+        assert look.base[found] == pytest.approx(log_c - np.log10(300))
+        assert look.share[found] == pytest.approx([0 if int(w[1:]) < 9 else c - np.log10(g + 1) for w, g, c in zip(words, group, log_c, strict=True)])
+
+
 def test_gru_gradient_equals_differences():
     """Adagrad's first step gives the gradient away: it is known how far a parameter goes for it."""
     rng = np.random.default_rng(5)
