@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,22 +47,68 @@ def text_features(text: str | None, dims: int = DIMS) -> np.ndarray:
     return np.unique(np.array([f for w in words(text) for f in word_features(w, dims)], np.int32))
 
 
+#: Features that are weighed at once in training; what a step needs besides the rows is bounded by it.
+BLOCK = 1 << 18
+
+
 class Rows:
-    """Sparse 0/1 rows: feature ids one after another, and where each row begins."""
+    """Sparse 0/1 rows: feature ids one after another, and where each row ends.
+
+    The driver holds the ids once, in four bytes each. Sums go through them in
+    blocks of whole rows and add in the order of the rows, so that the blocks'
+    size changes no bit of a result.
+    """
 
     def __init__(self, rows: list[np.ndarray]):
         self.n = len(rows)
-        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        self.who = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.flat = np.concatenate(rows).astype(np.int32, copy=False) if rows else np.zeros(0, np.int32)
+        self.ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def blocks(self, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, each row's number of features, their ids) of runs of rows: `most` features each, or one longer row."""
+        row, start = 0, 0
+        while row < self.n:
+            to = max(row + 1, int(np.searchsorted(self.ends, start + (most or BLOCK), "right")))
+            ends = self.ends[row:to]
+            yield row, np.diff(ends, prepend=start), self.flat[start : ends[-1]]
+            row, start = to, int(ends[-1])
+
+    def seen(self, dims: int) -> np.ndarray:
+        """The number of rows with each feature."""
+        out = np.zeros(dims, np.int64)
+        for _, _, ids in self.blocks():
+            out += np.bincount(ids, minlength=dims)
+        return out
 
-    def keep(self, ok: np.ndarray) -> Rows:
+    def keep(self, where: np.ndarray) -> Rows:
+        """The same rows with features numbered as `where` says; those at -1 go."""
         out = Rows([])
-        at = ok[self.flat]
-        out.n, out.flat, out.who = self.n, self.flat[at], self.who[at]
+        out.n, out.ends = self.n, np.zeros(self.n, np.int64)
+        out.flat, at = np.empty(sum(int((where[ids] >= 0).sum()) for _, _, ids in self.blocks()), np.int32), 0
+        for row, counts, ids in self.blocks():
+            new = where[ids]
+            ok = new >= 0
+            upto = at + np.concatenate([[0], np.cumsum(ok)])
+            out.ends[row : row + len(counts)] = upto[np.cumsum(counts)]
+            out.flat[at : upto[-1]] = new[ok]
+            at = int(upto[-1])
         return out
 
     def dot(self, weight: np.ndarray) -> np.ndarray:
-        return np.bincount(self.who, weight[self.flat], self.n)
+        out = np.zeros(self.n)
+        for row, counts, ids in self.blocks():
+            out[row : row + len(counts)] = np.bincount(np.repeat(np.arange(len(counts)), counts), weight[ids], len(counts))
+        return out
+
+    def spread(self, value: np.ndarray, dims: int) -> np.ndarray:
+        """For each feature the sum of the values of the rows that have it."""
+        out = np.zeros(dims)
+        for row, counts, ids in self.blocks():
+            np.add.at(out, ids, np.repeat(value[row : row + len(counts)], counts))
+        return out
 
 
 def nnpu_gradient(p: Rows, u: Rows, w: np.ndarray, prior: float) -> tuple[tuple[float, float], np.ndarray]:
@@ -78,12 +125,12 @@ def nnpu_gradient(p: Rows, u: Rows, w: np.ndarray, prior: float) -> tuple[tuple[
     neg_u, neg_p = sigmoid(gu) / u.n, -prior * sigmoid(gp) / p.n
     dp, du = (pos + neg_p, neg_u) if parts[1] >= 0 else (-neg_p, -neg_u)
     grad = np.empty_like(w)
-    grad[:-1] = np.bincount(p.flat, dp[p.who], len(w) - 1) + np.bincount(u.flat, du[u.who], len(w) - 1)
+    grad[:-1] = p.spread(dp, len(w) - 1) + u.spread(du, len(w) - 1)
     grad[-1] = dp.sum() + du.sum()
     return parts, grad
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, dims: int = DIMS, least_rows: int = 3, steps: int = 120, rate: float = 0.1, l1: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: Rows | list[np.ndarray], unlabelled: Rows | list[np.ndarray], prior: float, dims: int = DIMS, least_rows: int = 3, steps: int = 120, rate: float = 0.1, l1: float = 1e-4) -> tuple[np.ndarray, float]:
     """(weights, bias) by Adam on the non-negative risk; features in fewer than least_rows examples get none.
 
     Weights are kept at zero or above, with an L1 penalty: a word can speak for
@@ -95,12 +142,13 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     base = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return np.zeros(dims, np.float32), base
-    p, u = Rows(positive), Rows(unlabelled)
-    seen = np.bincount(p.flat, minlength=dims) + np.bincount(u.flat, minlength=dims)
-    used, where = np.flatnonzero(seen >= least_rows), np.full(dims, -1, np.int64)
+    p, u = (x if isinstance(x, Rows) else Rows(x) for x in (positive, unlabelled))
+    del positive, unlabelled  # the rows as they came go when those with the used features are there
+    seen = p.seen(dims) + u.seen(dims)
+    used, where = np.flatnonzero(seen >= least_rows), np.full(dims, -1, np.int32)
     where[used] = np.arange(len(used))
-    p, u = p.keep(seen >= least_rows), u.keep(seen >= least_rows)
-    p.flat, u.flat = where[p.flat], where[u.flat]
+    p, u = p.keep(where), u.keep(where)
+    del seen, where
     w = np.zeros(len(used) + 1)
     w[-1] = base
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -115,8 +163,11 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return out, float(w[-1])
 
 
-def _sampled(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> list[np.ndarray]:
-    """Features of the documents named in ids, a bounded table."""
+def _sampled(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> Rows:
+    """Features of the documents named in ids, a bounded table, by id and features.
+
+    They come as Arrow buffers and are copied once, so that the driver holds them neither as objects nor pickled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,8 +175,10 @@ def _sampled(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> list[np
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.tobytes() for f in found], pa.binary())], names=["id", "found"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
-    got = rows.mapInArrow(run, "id long, found binary").toPandas().sort_values(["id", "found"])
-    return [np.frombuffer(x, np.int32) for x in got["found"]]
+    got = rows.mapInArrow(run, "id long, found binary").toArrow()
+    order = pc.sort_indices(got, [("id", "ascending"), ("found", "ascending")]).to_pylist()
+    found = got["found"]
+    return Rows([np.frombuffer(found[i].as_buffer(), np.int32) for i in order])
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", positives: int = 1500, unlabelled: int = 6000, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -135,9 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "te
     usable = labels.filter(may_learn & F.col(toxic).isNotNull() & F.col(doc_id).isNotNull())
     prior = usable.agg(F.avg(F.col(toxic).cast("double"))).first()[0]
     bounded = lambda df, n: df.select(F.col(doc_id).cast("long").alias("id"), order.alias("o")).distinct().orderBy("o", "id").limit(n).select("id")
-    p = _sampled(docs, bounded(usable.filter(F.col(toxic) == 1), positives), text, doc_id)
-    u = _sampled(docs, bounded(docs.filter(may_learn & F.col(doc_id).isNotNull()), unlabelled), text, doc_id)
-    return fit_nnpu(p, u, prior if prior is not None else 0.0)
+    p = bounded(usable.filter(F.col(toxic) == 1), positives)
+    u = bounded(docs.filter(may_learn & F.col(doc_id).isNotNull()), unlabelled)
+    return fit_nnpu(_sampled(docs, p, text, doc_id), _sampled(docs, u, text, doc_id), prior if prior is not None else 0.0)
 
 
 def score_column(spark: SparkSession, model: tuple[np.ndarray, float], text: Column, cache: int = 400_000) -> Column:

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -283,6 +284,48 @@ def test_nnpu_fit_tells_positives_apart():
     assert score(pos).mean() > score(unl).mean() and (w >= 0).all()
 
 
+def test_nnpu_blocks_change_no_bit(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 50, n)).astype(np.int32) for n in (0, 3, 9, 0, 60, 1, 0)]
+    flat, who = np.concatenate(rows), np.repeat(np.arange(7), [len(r) for r in rows])
+    weight, value, where = rng.normal(size=50), rng.normal(size=7), np.where(np.arange(50) % 3 == 0, -1, np.arange(50) // 2)
+    pos, unl = ([np.unique(rng.integers(a, b, 9)).astype(np.int32) for _ in range(30)] for a, b in ((0, 30), (15, 50)))
+    fits = []
+    for block in (1, 10, 1000):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        got = toxicity.Rows(rows)
+        assert (got.seen(50) == np.bincount(flat, minlength=50)).all()
+        assert (got.dot(weight) == np.bincount(who, weight[flat], 7)).all()
+        assert (got.spread(value, 50) == np.bincount(flat, value[who], 50)).all()
+        kept = got.keep(where)
+        assert [k[k >= 0].tolist() for k in (where[r] for r in rows)] == [x.tolist() for x in np.split(kept.flat, kept.ends[:-1])]
+        fits.append(toxicity.fit_nnpu(pos, unl, 0.2, dims=50, least_rows=1))
+    assert all((w == fits[0][0]).all() and b == fits[0][1] for w, b in fits)
+    assert toxicity.Rows([]).dot(weight).size == 0 and toxicity.Rows([]).keep(where).flat.size == 0
+
+
+def test_nnpu_fit_holds_little_besides_its_rows():
+    """The driver trains: its share beyond the rows is a copy of them and what a block needs, not eight-byte copies of every feature."""
+    rng = np.random.default_rng(5)
+    pos, unl = ([np.sort(rng.choice(1 << 16, 1000, replace=False)).astype(np.int32) for _ in range(n)] for n in (500, 3500))
+    tracemalloc.start()
+    try:
+        toxicity.fit_nnpu(pos, unl, 0.2, dims=1 << 16, steps=2)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 3 * 4 * 4_000_000
+
+
+def test_toxicity_samples_come_as_arrow(spark, monkeypatch):
+    rows = [(7, "Nasty word", "s"), (3, None, "s"), (5, "b a", "s"), (5, "a", "s"), (9, "left out", "s"), (None, "none", "s"), (4, "", "s")]
+    ids = spark.createDataFrame([(i,) for i in (3, 4, 5, 7)], "id long")
+    monkeypatch.setattr(type(ids), "toPandas", lambda self: pytest.fail("rows of features pass through the driver as objects"))
+    got = toxicity._sampled(docs(spark, rows), ids, "text", "doc_id")
+    want = [toxicity.text_features(t) for t in (None, "")] + sorted((toxicity.text_features(t) for t in ("a", "b a")), key=lambda f: f.tobytes()) + [toxicity.text_features("Nasty word")]
+    assert [x.tolist() for x in np.split(got.flat, got.ends[:-1])] == [x.tolist() for x in want]
+
+
 def test_ann_recall_and_rules(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
